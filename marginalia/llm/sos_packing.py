@@ -20,7 +20,7 @@ from .tokens import default_vocabulary, tokenizer
 
 WINDOW, END_ID = 4096, 2
 #: Documents that one packer places, about; a packer's state is its level array and open windows.
-SHARD_DOCS, LEAST_SHARDS = 20_000, 16
+SHARD_DOCS = 3_000
 #: A packer's sequence ids begin at its number times this.
 SHARD_IDS = 1 << 40
 
@@ -94,7 +94,7 @@ def sos_pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDO
     empty table gives no rows.
     """
     n = docs.count()
-    shards = max(LEAST_SHARDS, -(-n // shard_docs))
+    shards = max(1, -(-n // shard_docs))
     rows = pieces(docs, vocabulary, window, end_id).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
