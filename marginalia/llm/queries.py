@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bfd_packing, secret_scan, sos_packing, telephony
+from . import bfd_packing, secret_scan, sos_packing, substring_dedup, telephony
 from .common import table
 
 
@@ -32,9 +32,14 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secret_scan.span_text().alias("spans"), F.coalesce(judged, F.lit("")).alias("verdicts"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 words that stand earlier."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op5_sos_packing, op6_secret_ownership)}
+    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op5_sos_packing, op6_secret_ownership, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
