@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bfd_packing, secret_scan, sos_packing, substring_dedup, telephony
+from . import bfd_packing, minhash_dedup, secret_scan, sos_packing, substring_dedup, telephony
 from .common import table
 
 
@@ -37,9 +37,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by shingles of two words, similarity 0.8 or more."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op5_sos_packing, op6_secret_ownership, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op5_sos_packing, op6_secret_ownership, op7_substring_dedup, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
