@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bfd_packing, minhash_dedup, secret_scan, sos_packing, substring_dedup, telephony
+from . import bfd_packing, line_quality, minhash_dedup, secret_scan, sos_packing, substring_dedup, telephony
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_packing.bfd_pack(table(spark, sf_dir, "documents"))
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdicts of every document, by line frequency."""
+    return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("bad_lines")
+
+
 def op5_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in windows of 4096 tokens."""
     return sos_packing.sos_pack(table(spark, sf_dir, "documents"))
@@ -44,9 +49,9 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op5_sos_packing, op6_secret_ownership, op7_substring_dedup, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op3_line_quality, op5_sos_packing, op6_secret_ownership, op7_substring_dedup, op9_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that it can express."""
-    return {}
+    return {"op3_line_quality": line_quality.SQL}
