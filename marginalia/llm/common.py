@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: list[tuple[SparkSession, str, str]] = []
+_OWNER = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,14 +54,25 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    _SCRATCH.append((spark, path))
+    _SCRATCH.append((spark, path, _OWNER[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch() -> None:
-    """Delete the tables that ``materialize`` wrote; whoever calls it has no more use for them."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+@contextlib.contextmanager
+def scratch_of(owner: str) -> Iterator[None]:
+    """Name whose the tables are that ``materialize`` writes meanwhile."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def clear_scratch(owner: str | None = None) -> None:
+    """Delete the tables that ``materialize`` wrote for ``owner``, or all; there must be no more use for them."""
+    for found in [x for x in _SCRATCH if owner in (None, x[2])]:
+        _SCRATCH.remove(found)
+        spark, path, _ = found
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -298,3 +298,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     named = of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.union(empty).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with the least doc_id; all columns stay."""
+    kept = near_duplicates(docs, k, threshold).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bfd_packing, line_quality, minhash_dedup, secret_scan, sos_packing, substring_dedup, telephony
+from . import bfd_packing, byte_cnn, license_scan, line_quality, minhash_dedup, piece_dropout, secret_scan, sos_packing, substring_dedup, telephony
 from .common import table
 
 
@@ -25,6 +25,13 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("bad_lines")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document: names, and unit, first line, lines and coefficient of each match."""
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["unit"], m["line"].cast("string"), m["lines"].cast("string"), F.format_string("%.4f", m["dice"])))
+    return found.select("doc_id", "n_matches", "licenses", F.round("best_dice", 6).alias("best_dice"), F.array_join(said, ",").alias("matches"))
+
+
 def op5_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in windows of 4096 tokens."""
     return sos_packing.sos_pack(table(spark, sf_dir, "documents"))
@@ -42,14 +49,28 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as SentencePiece ids with merge-dropout: digests, and whether decoding gave the text."""
+    return piece_dropout.piece_dropout(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates by shingles of two words, similarity 0.8 or more."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a byte-level convolutional network."""
+    return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op1_telephony, op2_bfd_packing, op3_line_quality, op5_sos_packing, op6_secret_ownership, op7_substring_dedup, op9_minhash_dedup)}
+    found = (
+        op1_telephony, op2_bfd_packing, op3_line_quality, op4_license_scan, op5_sos_packing,
+        op6_secret_ownership, op7_substring_dedup, op8_piece_dropout, op9_minhash_dedup, op10_byte_cnn,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

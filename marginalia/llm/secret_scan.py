@@ -28,7 +28,7 @@ _URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,200}:([^\s:/@]{4,200})@"
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END")
 
 #: Owners of a value from which it is an example; bits a character that a live-looking value has at least.
-COPIED_OWNERS, LIVE_BITS, LIVE_LENGTH = 2, 2.5, 12
+COPIED_OWNERS, LIVE_BITS, LIVE_LENGTH = 3, 2.5, 12
 
 SCAN = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "

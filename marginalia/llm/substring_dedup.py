@@ -202,9 +202,9 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """What ``repeated`` leaves of every document: counts, the kept words joined by a space, and their SHA-256.
+    """What ``repeated`` leaves of every document: counts, and the SHA-256 of the kept words joined by a space.
 
-    A document without repeats keeps its words as well; ``kept_text`` is null where ``with_text`` is false.
+    ``kept_text`` is that, or the text as it was where nothing is removed; null if ``with_text`` is false.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -222,8 +222,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
             removed.append(n[-1] - len(words))
             left = b" ".join(words)
             sha.append(hashlib.sha256(left).hexdigest())
-            kept.append(left.decode("utf-8") if with_text else None)
+            kept.append(left.decode("utf-8") if with_text and n[-1] > len(words) else text.decode("utf-8") if with_text else None)
         cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return over_batches(repeated(docs, window), run, RESULT)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated passages removed from their texts (n_chars follows); all rows and columns stay."""
+    told = remove_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("doc_id_"), "kept_text")
+    joined = docs.join(told, F.col("doc_id") == F.col("doc_id_"), "left")
+    new = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
