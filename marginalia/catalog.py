@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import search_queries, site_queries, text_queries, views  # noqa: F401  importing them registers their queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return {}
+    return dict(views.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The DuckDB statement of each query that has one."""
-    return {}
+    return dict(views.SQL)

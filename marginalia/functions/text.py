@@ -233,7 +233,7 @@ def framework(url: Column | str) -> Column:
 
 def accept_quality(accept: Column | str, kinds: str) -> Column:
     """The highest q of the media types in an Accept header that match ``kinds`` (STR-34)."""
-    part = F.filter(F.transform(F.split(col(accept), ","), F.trim), lambda s: s.rlike("(?i)" + kinds))
+    part = F.filter(F.transform(F.split(col(accept), ","), lambda s: F.trim(s)), lambda s: s.rlike("(?i)" + kinds))
     q = lambda s: F.least(F.coalesce(F.nullif(F.regexp_extract(s, r"(?i);\s*q\s*=\s*(\d(?:\.\d+)?)", 1), F.lit("")).cast("double"), F.lit(1.0)), F.lit(1.0))
     return F.coalesce(F.array_max(F.transform(part, q)), F.lit(0.0))
 

@@ -27,7 +27,7 @@ def memberships(pages: DataFrame, groups: DataFrame) -> DataFrame:
     Slugs compare without case. A page without any known group is ``ungrouped`` besides; one that names
     unknown groups has a row of status ``unknown`` for each.
     """
-    named = pages.select("page_id", F.explode_outer(F.filter(F.transform("groups", F.trim), lambda g: g != "")).alias("named"))
+    named = pages.select("page_id", F.explode_outer(F.filter(F.transform("groups", lambda g: F.trim(g)), lambda g: g != "")).alias("named"))
     known = groups.select("slug", F.lower("slug").alias("key"))
     both = named.withColumn("key", F.lower("named")).join(known, "key", "left")
     status = F.when(F.col("slug").isNotNull(), "member").when(F.col("named").isNotNull(), "unknown")
@@ -36,7 +36,7 @@ def memberships(pages: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.union(none.select("page_id", F.lit(None).cast("string"), F.lit("ungrouped")))
 
 
-def in_order(pages: DataFrame, *keys: str) -> Column:
+def in_order(*keys: str) -> Window:
     """Window of navigation order (SOR-01): order with nulls last, then the keys."""
     return Window.partitionBy(*keys).orderBy(F.asc_nulls_last("ord"), "path")
 
