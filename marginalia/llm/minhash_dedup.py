@@ -29,6 +29,8 @@ SLACK = 5.2
 BUCKET = 512
 #: Members of a cluster in one task, and hubs that every task of a larger cluster gets.
 TASK, HUBS = 128, 8
+#: Parts into which the copies of a set are dealt.
+SALTS = 16
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     n, floor = partitions(spark), _floor(threshold)
     rows = materialize(sketch(docs, k))
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id")).join(some, "doc_id").select("doc_id", "bands", "sketch")
 
     member = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -294,7 +296,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         more = confirm(labelled, apart.select("cluster", "own", "parts", "doc_id", "sketch", "text", "label"))
         found = components(links.union(more))
 
-    of = some.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep")
+    # Copies find their class by salted keys, so that a large class isn't one task's.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    again = classes.where("copies > 1").select("set_a", "set_b", "n_shingles", "rep", F.explode(F.array(*map(F.lit, range(SALTS)))).cast("long").alias("salt"))
+    of = some.select("doc_id", "n_shingles", "set_a", "set_b", salt.alias("salt")).join(again, ["set_a", "set_b", "n_shingles", "salt"], "left")
+    of = of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     named = of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.union(empty).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
