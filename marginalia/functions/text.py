@@ -45,12 +45,11 @@ def fold_any(text: Column | str) -> Column:
     """Full compatibility folding (STR-01) by an Arrow UDF, for text beyond Latin letters."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        plain = s.str.normalize("NFKD").str.replace("[̀-ͯ]", "", regex=True)
-        return plain.str.lower()
+    def run(s):  # noqa: ANN001, ANN202
+        return s.str.normalize("NFKD").str.replace("[\u0300-\u036f]", "", regex=True).str.lower()
 
-    return run(col(text))
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(col(text))
 
 
 def words(text: Column | str) -> Column:

@@ -44,13 +44,13 @@ def frontmatter(rows: DataFrame) -> DataFrame:
             data = yaml.safe_load(m[1]) if m else {}
         except yaml.YAMLError:
             data = {}
-        return {str(k): v if isinstance(v, str) else json.dumps(v, default=lambda d: d.isoformat()) for k, v in (data if isinstance(data, dict) else {}).items()}
+        return {str(k): v if isinstance(v, str) else v.isoformat() if hasattr(v, "isoformat") else json.dumps(v, default=str) for k, v in (data if isinstance(data, dict) else {}).items()}
 
-    @F.pandas_udf("map<string,string>")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):  # noqa: ANN001, ANN202
         return s.map(parse)
 
-    return rows.withColumn("frontmatter", run("content"))
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return rows.withColumn("frontmatter", F.pandas_udf(run, "map<string,string>")("content"))
 
 
 def pages(spark: SparkSession, root: str, mounts: dict[str, str] | None = None) -> DataFrame:
