@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 
     # Copies find their class by salted keys, so that a large class isn't one task's.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    again = classes.where("copies > 1").select("set_a", "set_b", "n_shingles", "rep", F.explode(F.array(*map(F.lit, range(SALTS)))).cast("long").alias("salt"))
+    again = classes.where("copies > 1").select("set_a", "set_b", "n_shingles", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     of = some.select("doc_id", "n_shingles", "set_a", "set_b", salt.alias("salt")).join(again, ["set_a", "set_b", "n_shingles", "salt"], "left")
     of = of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     named = of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
