@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import over_batches, pack_ints, partitions, raw, texts, unpack_ints
@@ -32,11 +31,12 @@ BUCKETS = 4
 #: Bits of a hash that only choose its bucket; the others are kept.
 BUCKET_BITS = 24
 
-#: To a bucket: hashes to compare (``more``: further bits of each; ``many``: met more than once in its batch); else: a document's answers.
-ROWS = "bucket int, doc_id long, hash binary, more binary, many binary, docs binary, places binary"
-ANSWERS = "doc_id long, places binary"
+#: A bucket's hashes to compare (``more``: further bits of each; ``many``: met more than once in its batch), or, with bucket -1, a batch's own answers.
+ROWS = "bucket int, hash binary, more binary, many binary, docs binary, places binary"
+#: Answers by part of the documents, then by document.
+PARTS, ANSWERS = "part int, docs binary, places binary", "doc_id long, places binary"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+_TYPES = [pa.int32(), *[pa.binary()] * 5]
 
 
 def _planes(key: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def _to_buckets(key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.nd
     known = ~first
     if answer_first:
         known[run[many]] = True
-    rows = [(-1, d, None, None, None, None, p) for d, p in _by_doc(doc[known], place[known])]
+    rows = [(-1, None, None, None, pack_ints(doc[known]), pack_ints(place[known]))] if known.any() else []
     key, more, doc, place = key[run], more[run], doc[run], place[run]
     bucket = (key & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
     order = np.lexsort((place, doc, bucket))
@@ -88,57 +88,61 @@ def _to_buckets(key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.nd
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if b > a:
-            rows.append((k, None, _planes(key[a:b])[BUCKET_BITS // 8 :].tobytes(), more[a:b].tobytes(), np.packbits(many[a:b]).tobytes(), pack_ints(doc[a:b]), pack_ints(place[a:b])))
+            rows.append((k, _planes(key[a:b])[BUCKET_BITS // 8 :].tobytes(), more[a:b].tobytes(), np.packbits(many[a:b]).tobytes(), pack_ints(doc[a:b]), pack_ints(place[a:b])))
     for at in range(0, len(rows), 2000):
         some = list(zip(*rows[at : at + 2000], strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, _TYPES, strict=True)], names=_NAMES)
 
 
 def _compare(rows: DataFrame, more_kind: type, first_stays: bool, n: int) -> DataFrame:
-    """Answers of buckets: (doc_id, places) whose hash also stands elsewhere.
+    """(doc_id, places), one row a document: where hashes stand that also stand elsewhere.
 
-    ``first_stays``: not the first occurrence of all (by doc_id, then place); else every occurrence.
+    ``first_stays``: not the first occurrence of all (by doc_id, then place); else every occurrence. A
+    task's answers go by parts of the documents, so that their rows don't multiply by tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
+        given: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            given = batch.filter(pc.less(batch.column(0), 0))
-            if given.num_rows:
-                yield pa.RecordBatch.from_arrays([given.column(1), given.column(6)], names=["doc_id", "places"])
-            for row in batch.filter(pc.greater_equal(batch.column(0), 0)).to_pylist():
+            for row in batch.to_pylist():
+                doc, place = unpack_ints(row["docs"]), unpack_ints(row["places"])
+                if row["bucket"] < 0:
+                    given.append((doc, place))
+                    continue
                 key = _from_planes(row["hash"]) | np.uint64(row["bucket"])
-                more = np.frombuffer(row["more"], more_kind)
                 many = np.unpackbits(np.frombuffer(row["many"], np.uint8), count=len(key)).astype(bool)
-                parts.append((key, more, many, unpack_ints(row["docs"]), unpack_ints(row["places"])))
-        if not parts:
-            return
-        key, more, many, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((place, doc, more, key))
-        key, more, many, doc, place = key[order], more[order], many[order], doc[order], place[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
-        if first_stays:
-            known = ~first
-        else:
-            last = np.concatenate([first[1:], [True]])
-            known = ~(first & last) & ~many  # those met twice in their batch have had their answers
-        found = list(_by_doc(doc[known], place[known]))
-        for at in range(0, len(found), 5000):
-            d, p = zip(*found[at : at + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "places"])
-
-    spread = F.when(F.col("bucket") < 0, F.hash("doc_id")).otherwise(F.col("bucket"))
-    return rows.repartition(n, spread).mapInArrow(run, ANSWERS)
-
-
-def _collected(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("doc_id").agg(F.collect_list("places").alias("places")).hint("shuffle_hash")
-
-
-def _places(blobs: list[bytes] | None) -> np.ndarray:
-    return np.concatenate([unpack_ints(b) for b in blobs]) if blobs else np.zeros(0, np.int64)
+                parts.append((key, np.frombuffer(row["more"], more_kind), many, doc, place))
+        if parts:
+            key, more, many, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order = np.lexsort((place, doc, more, key))
+            key, more, many, doc, place = key[order], more[order], many[order], doc[order], place[order]
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+            # Those met twice in their batch have had their answers.
+            known = ~first if first_stays else ~(first & np.append(first[1:], True)) & ~many
+            given.append((doc[known], place[known]))
+        if sum(len(g[0]) for g in given):
+            doc, place = (np.concatenate(x) for x in zip(*given, strict=True))
+            part = (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+            order = np.lexsort((place, doc, part))
+            part, doc, place = part[order], doc[order], place[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            found = [(int(part[a]), pack_ints(doc[a:b]), pack_ints(place[a:b])) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "docs", "places"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(unpack_ints(d), unpack_ints(p)) for batch in batches for d, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        if parts:
+            found = list(_by_doc(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+            for at in range(0, len(found), 5000):
+                d, p = zip(*found[at : at + 5000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "places"])
+
+    spread = F.when(F.col("bucket") < 0, F.hash("docs")).otherwise(F.col("bucket"))
+    answers = rows.repartition(n, spread).mapInArrow(run, PARTS)
+    return answers.repartition(n, "part").mapInArrow(gather, ANSWERS).hint("shuffle_hash")
 
 
 def _cover_positions(words: Words, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +167,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window has more than {PERIOD} words")
     size, n = window - PERIOD + 1, partitions(docs.sparkSession)
     buckets = n * BUCKETS
-    whole = texts(docs)
+    whole = texts(docs).where("doc_id is not null")  # said once, so that both joins below share one exchange
 
     def anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         body, offsets = raw(batch.column(1))
@@ -179,9 +183,9 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         words = split(body, offsets)
         count = np.diff(words.first)
         change = np.zeros(len(words.start) + 2, np.int32)
-        for i, blobs in enumerate(batch.column(2).to_pylist()):
-            if blobs:
-                p = _places(blobs)
+        for i, blob in enumerate(batch.column(2).to_pylist()):
+            if blob:
+                p = unpack_ints(blob)
                 np.add.at(change, words.first[i] + np.maximum(p - (PERIOD - 1), 0), 1)
                 np.add.at(change, words.first[i] + np.minimum(p, count[i] - window) + 1, -1)
         at = np.flatnonzero(np.cumsum(change)[: len(words.start)] > 0)
@@ -193,9 +197,9 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     dealt = whole.repartition(n, "doc_id")
     shared = _compare(over_batches(whole, anchors, ROWS), np.uint8, False, n)
-    candidates = dealt.join(_collected(shared), "doc_id").select("doc_id", "text", "places")
+    candidates = dealt.join(shared, "doc_id").select("doc_id", "text", "places")
     twice = _compare(over_batches(candidates, around, ROWS), np.uint32, True, n)
-    return dealt.join(_collected(twice), "doc_id", "left").select("doc_id", "text", "places")
+    return dealt.join(twice, "doc_id", "left").select("doc_id", "text", "places")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -209,11 +213,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, removed, sha, kept = [], [], [], []
-        for text, blobs in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, blob in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = text.split()
             n.append(len(words))
-            if blobs:
-                p = _places(blobs)
+            if blob:
+                p = unpack_ints(blob)
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, p, 1)
                 np.add.at(change, p + window, -1)
