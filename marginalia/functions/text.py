@@ -251,12 +251,15 @@ def content_hash(text: Column | str, digits: int = 16) -> Column:
 def excerpt(text: Column | str, terms: Column) -> Column:
     """What stands around the first of ``terms`` that occurs (STR-43): 80 before to 160 after, or the first 220."""
     t = col(text)
-    low = fold(t)
-    at = _first_hit(low, terms)
-    start, end = F.greatest(F.lit(0), at - 81), F.least(F.length(t), at + 159)
-    middle = F.trim(F.substring(t, start + 1, end - start))
-    around = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), middle, F.when(end < F.length(t), F.lit("...")).otherwise(F.lit("")))
-    return F.when(at == 0, F.trim(F.left(t, F.lit(220)))).otherwise(around)
+
+    def cut(at: Column) -> Column:
+        start, end = F.greatest(F.lit(0), at - 81), F.least(F.length(t), at + 159)
+        middle = F.trim(F.substring(t, start + 1, end - start))
+        around = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), middle, F.when(end < F.length(t), F.lit("...")).otherwise(F.lit("")))
+        return F.when(at == 0, F.trim(F.left(t, F.lit(220)))).otherwise(around)
+
+    hit = F.transform(F.array(fold(t)), lambda low: _first_hit(low, terms))  # arrays of one, so that each is computed once
+    return F.element_at(F.transform(hit, cut), 1)
 
 
 def _first_hit(low: Column, terms: Column) -> Column:

@@ -25,6 +25,11 @@ class Index:
     postings: DataFrame
     vocab: DataFrame
 
+    def release(self) -> None:
+        """Free what ``build`` has persisted."""
+        for table in (self.chunks, self.postings, self.vocab):
+            table.unpersist()
+
     def stats(self) -> DataFrame:
         """One row: the number of chunks and their average length, at least 1 (AGG-02)."""
         return self.chunks.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avg_length"))
@@ -45,20 +50,21 @@ def build(chunks: DataFrame) -> Index:
     """An index of ``chunks``: chunk_pos, url, title, description, heading, text, code (SEA-02, SEA-03, AGG-01, AGG-03).
 
     ``text`` is the chunk's whole text. The body field counts description and text. A term's rank is
-    that of its first occurrence, canonical numbers first, by value.
+    that of its first occurrence, canonical numbers first, by value. The tables are persisted, as each is
+    read several times by a search; ``Index.release`` frees them.
     """
     fields = {"title": T.tokens("title"), "heading": T.tokens("heading"), "body": T.tokens(F.concat_ws(" ", "description", "text")), "code": T.tokens("code")}
-    rows = chunks.select("*", F.size(T.tokens("text")).cast("long").alias("length"))
+    rows = chunks.select("*", T.tokens("text").alias("tokens")).withColumn("length", F.size("tokens").cast("long")).persist()
     each = None
     for k, (name, found) in enumerate(fields.items()):
         part = chunks.select("chunk_pos", F.lit(k).alias("field"), F.posexplode(found).alias("place", "term"))
         each = part if each is None else each.unionByName(part)
     tf = [F.sum((F.col("field") == k).cast("long")).alias(f"tf_{name}") for k, name in enumerate(fields)]
-    postings = each.groupBy("term", "chunk_pos").agg(*tf, F.min(F.struct("field", "place")).alias("seen"))
+    postings = each.groupBy("term", "chunk_pos").agg(*tf, F.min(F.struct("field", "place")).alias("seen")).persist()
     number = F.col("term").rlike("^(0|[1-9][0-9]{0,9})$") & (F.try_to_number("term", F.lit("9999999999")) < 4294967295)
     vocab = postings.groupBy("term").agg(F.count("*").alias("df"), F.min(F.struct("chunk_pos", "seen")).alias("seen"))
     rank = F.struct(F.when(number, 0).otherwise(1), F.when(number, F.try_to_number("term", F.lit("9999999999")).cast("long")).otherwise(0), F.col("seen"))
-    return Index(rows, postings.drop("seen"), vocab.select("term", T.stem("term").alias("stem"), "df", rank.alias("term_rank")))
+    return Index(rows, postings.drop("seen"), vocab.select("term", T.stem("term").alias("stem"), "df", rank.alias("term_rank")).persist())
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -123,9 +129,8 @@ def _near(t: Column, q: Column) -> Column:
     return F.exists(starts, follows)
 
 
-def boost(text: Column, query: Column) -> Column:
-    """What a chunk gains where the query's tokens stand together (SEA-08): a phrase, or in order and near."""
-    t, q = T.tokens(text), T.tokens(query)
+def boost(t: Column, q: Column) -> Column:
+    """What a chunk gains where a query's tokens ``q`` stand together in its tokens ``t`` (SEA-08): a phrase, or in order and near."""
     phrase = F.contains(F.array_join(t, " "), F.array_join(q, " "))
     return F.when(F.size(q) < 2, 0.0).when(phrase, PHRASE_BOOST).when(_near(t, q), NEAR_BOOST).otherwise(0.0)
 
@@ -137,13 +142,14 @@ def search(queries: DataFrame, index: Index, limit: int = LIMIT, more: dict[str,
     are made for what is left only.
     """
     expanded = expand(queries, index, more)
-    scored = score(expanded, index).join(index.chunks.select("chunk_pos", "url", "text"), "chunk_pos").join(queries, "query_id")
-    scored = scored.withColumn("score", F.round(F.col("score") + boost(F.col("text"), F.col("query")), 9))
+    asked = queries.select("query_id", T.tokens("query").alias("asked"))
+    scored = score(expanded, index).join(index.chunks.select("chunk_pos", "url", "tokens"), "chunk_pos").join(asked, "query_id")
+    scored = scored.withColumn("score", F.round(F.col("score") + boost(F.col("tokens"), F.col("asked")), 9)).drop("tokens")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "url", "chunk_pos")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     terms = expanded.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    cut = T.excerpt("text", F.concat(T.tokens("query"), F.col("terms")))
-    return top.join(terms, "query_id").select("query_id", "rank", "chunk_pos", "url", cut.alias("excerpt"), "score")
+    cut = T.excerpt("text", F.concat("asked", "terms"))
+    return top.join(terms, "query_id").join(index.chunks.select("chunk_pos", "text"), "chunk_pos").select("query_id", "rank", "chunk_pos", "url", cut.alias("excerpt"), "score")
 
 
 def first_per_page(hits: DataFrame) -> DataFrame:

@@ -20,8 +20,19 @@ _QT = f"q AS (SELECT query_id, query, {V.tokens_sql('query')} AS toks FROM {V.QU
 _SCORE = "ln(1 + (n - df + 0.5) / (df + 0.5)) * (4.0 * tf_title + tf_body) * 2.2 / (4.0 * tf_title + tf_body + 1.2 * (0.25 + 0.75 * len(c.toks) / avg_length))"
 
 
+_LAST: dict[tuple[str, str], R.Index] = {}
+
+
 def _index(spark: SparkSession, d: str) -> R.Index:
-    return R.build(V.chunk_rows(spark, d))
+    """The index of a folder's documents; a session keeps the last one that its queries built."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LAST:
+        for other in list(_LAST):
+            if other[0] == key[0]:
+                _LAST[other].release()
+            del _LAST[other]
+        _LAST[key] = R.build(V.chunk_rows(spark, d))
+    return _LAST[key]
 
 
 @query(f"""WITH {_INDEX}, {_QT}, s AS (SELECT query_id, chunk_pos, round(sum({_SCORE}), 6) AS score FROM qt JOIN p ON p.term = qt.token JOIN v ON v.term = qt.token JOIN c USING (chunk_pos), st GROUP BY ALL),
