@@ -86,7 +86,7 @@ def bfd_pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDO
     (32-bit where the vocabulary needs it), padded by ``pad_id`` after ``n_tokens``; ``cu_seqlens`` the
     segments' ends, from 0; ``position_ids`` unsigned 32-bit positions that go on from a segment's
     ``starts`` within its document, so a document begins again at 0; padding has 0. (lead_doc_id,
-    lead_start) names a row. Packing works on runs of rows of a partition as they are read, without a
+    lead_start) names a row; a null doc_id stays null. Packing works on runs of rows of a partition as they are read, without a
     shuffle; a lost task makes the same rows again. Repeated rows are packed each, an empty table gives
     none.
     """
@@ -135,7 +135,7 @@ def bfd_pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDO
         for batch in batches:
             for part in slices(batch):
                 ids, ends = coder.encode(part.column(1), end_id)
-                held.append((part.column(0).to_numpy(zero_copy_only=False), ids, ends))
+                held.append((np.array(part.column(0).to_pylist(), object), ids, ends))
                 tokens += len(ids)
                 if tokens >= buffer_tokens:
                     yield from flush()

@@ -238,7 +238,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, threshold: int, floor: i
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """Every document with the component of its near duplicates.
 
-    Takes doc_id (unique, not null) and text. A document's set holds its distinct shingles of ``k`` words,
+    Takes doc_id (unique; rows without one are left out) and text. A document's set holds its distinct shingles of ``k`` words,
     A-Z lower-cased; with fewer words, the whole sequence; without any (null or empty text), none, and it
     is linked with nothing. Documents are linked where 100 * intersection >= threshold * union. Returns
     doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (doc_id is that).
@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     """
     spark = docs.sparkSession
     n, floor = partitions(spark), _floor(threshold)
+    docs = docs.where("doc_id is not null")
     rows = materialize(sketch(docs, k))
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -307,6 +308,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the least doc_id; all columns stay."""
-    kept = near_duplicates(docs, k, threshold).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """``docs`` with one document of each component: that with the least doc_id; all columns stay, and rows without doc_id."""
+    gone = near_duplicates(docs, k, threshold).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

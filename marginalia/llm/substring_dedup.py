@@ -157,7 +157,7 @@ def _cover_positions(words: Words, size: int, least: int) -> tuple[np.ndarray, n
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every document with the places of its words that repeat earlier ones.
 
-    Takes doc_id (unique, not null) and text; a null text has no words, and documents of fewer than
+    Takes doc_id (unique; rows without one are left out) and text; a null text has no words, and documents of fewer than
     ``window`` words (at least PERIOD + 1) keep all. Returns doc_id, text and ``places``: packed starts of
     windows whose words also start earlier, in a smaller doc_id or in the same document before. Ties
     don't occur, as (doc_id, place) is unique. Hashes have 40 bits besides those of the bucket for anchors,
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages removed from their texts (n_chars follows); all rows and columns stay."""
-    told = remove_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("doc_id_"), "kept_text")
+    told = remove_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("doc_id_"), F.col("kept_text").alias("kept_text_"))
     joined = docs.join(told, F.col("doc_id") == F.col("doc_id_"), "left")
-    new = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    new = {"text": F.coalesce("kept_text_", "text"), "n_chars": F.when(F.col("kept_text_").isNotNull(), F.length("kept_text_").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return joined.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

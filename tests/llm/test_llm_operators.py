@@ -522,3 +522,15 @@ def test_classifier(spark):
     assert got.score[400] == got.score[401]
     none = byte_cnn.classify(docs, labels.where("quality = 1")).toPandas()
     assert none.score.nunique() == 1 and none.score[0] == 1.0
+
+
+def test_rows_without_doc_id(spark):
+    text = "a b c d e f g h " * 9
+    df = table(spark, [text, "x", None]).union(spark.createDataFrame([(None, text, None, None, None, None, None)], SCHEMA))
+    assert telephony.telephony(df).count() == 4 and sos_packing.sos_pack(df).count() == 4 and license_scan.license_scan(df).count() == 4
+    assert sorted(str(d) for r in bfd_packing.bfd_pack(df).collect() for d in r.doc_ids) == ["0", "1", "2", "None"]
+    assert line_quality.line_quality(df).count() == 4 and secret_scan.secrets(df).count() == 4 and piece_dropout.piece_dropout(df).count() == 4
+    assert substring_dedup.remove_repeats(df).count() == 3 and substring_dedup.without_repeats(df).count() == 4
+    assert minhash_dedup.near_duplicates(df).count() == 3 and minhash_dedup.without_near_duplicates(df).count() == 4
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert byte_cnn.classify(df, labels).count() == 4
