@@ -265,3 +265,31 @@ def excerpt(text: Column | str, terms: Column) -> Column:
 def _first_hit(low: Column, terms: Column) -> Column:
     """1-based place of the first of ``terms`` that occurs in ``low``; 0 if none does."""
     return F.aggregate(terms, F.lit(0), lambda a, x: F.when(a > 0, a).otherwise(F.position(x, low)))
+
+
+def first_heading(body: Column | str) -> Column:
+    """A page's title by its first heading, null if it has none (STR-38)."""
+    return F.nullif(clean_heading(F.regexp_extract(col(body), r"(?m)^#{1,6}\s+(.+)$", 1)), F.lit(""))
+
+
+def first_paragraph(body: Column | str, most: int = 200) -> Column:
+    """A page's description by its first paragraph of prose (STR-38): no heading, list, table, quote, fence or tag."""
+    prose = F.filter(F.split(F.trim(col(body)), r"\n\s*\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|```|~~~|<|[-*+] |\d+\. |\||>)"))
+    return F.nullif(F.left(clean_markdown(F.get(prose, F.lit(0))), F.lit(most)), F.lit(""))
+
+
+def enriched(frontmatter: Column | str, url: Column, aliases: Column) -> Column:
+    """A frontmatter map with url and aliases, which it may have itself (STR-40)."""
+    more = F.map_from_arrays(F.array(F.lit("url"), F.lit("aliases")), F.array(url, F.array_join(aliases, ",")))
+    kept = F.map_filter(more, lambda k, v: ~F.map_contains_key(col(frontmatter), k) & v.isNotNull() & (v != ""))
+    return F.map_concat(col(frontmatter), kept)
+
+
+def fill_values(values: Column | str, known: dict[str, str]) -> Column:
+    """A map of text or JSON with placeholders filled in every value, however deep (ARR-14)."""
+    return F.transform_values(col(values), lambda k, v: fill_placeholders(v, known))  # noqa: ARG005
+
+
+def output_path(path: Column | str) -> Column:
+    """Where a page's Markdown goes (MDX-30)."""
+    return F.regexp_replace(col(path), r"\.mdx?$", ".md")

@@ -229,6 +229,28 @@ def _types(node: Node, body: str) -> str:  # noqa: ARG001
     return "\n".join(out)
 
 
+@flattener("ApiEndpoint")
+def _endpoint(node: Node, body: str) -> str:
+    said = body.strip()
+    return f"`{node.text('method').upper()} {node.text('path')}`" + (f"\n\n{said}" if said else "")
+
+
+@flattener("ApiParameters", "ApiRequestBody", "ApiResponses", "ApiAuth", "ApiCodeSamples")
+def _api_rows(node: Node, body: str) -> str:
+    """A table of the rows that the component was given (MDX-25); one without rows keeps its children."""
+    rows = next((v for v in node.props.values() if isinstance(v, list) and v and all(isinstance(r, dict) for r in v)), [])
+    if not rows:
+        return body.strip()
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    cell = lambda v: ("" if v is None else v if isinstance(v, str) else json.dumps(v)).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(["| " + " | ".join(names) + " |", "| " + " | ".join("---" for _ in names) + " |", *("| " + " | ".join(cell(r.get(k)) for k in names) + " |" for r in rows)])
+
+
+@flattener("ApiTryIt")
+def _try_it(node: Node, body: str) -> str:  # noqa: ARG001
+    return ""
+
+
 def render(nodes: list[object], handlers: dict[str, Handler] | None = None) -> str:
     """Markdown of nodes, children first; components without a handler keep their children (MDX-03)."""
     known = HANDLERS if handlers is None else handlers

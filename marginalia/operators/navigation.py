@@ -160,3 +160,9 @@ def sitemap(pages: DataFrame, per_file: int = 50_000) -> DataFrame:
     dealt = pages.crossJoin(F.broadcast(n)).select(F.pmod(F.crc32(F.col("absolute_url").cast("binary")), F.col("files")).alias("file"), "absolute_url", url.alias("u"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("absolute_url", "u"))), lambda x: x["u"]), "")
     return dealt.groupBy("file").agg(F.count("*").alias("n"), F.concat(F.lit("<urlset>"), body, F.lit("</urlset>")).alias("xml"))
+
+
+def inferred(pages: DataFrame) -> DataFrame:
+    """(slug, pages): the groups that pages name, by slug without case (AGG-16)."""
+    each = pages.select("page_id", F.explode(F.array_distinct(F.transform("groups", lambda g: F.lower(F.trim(g))))).alias("slug"))
+    return each.where("slug <> ''").groupBy("slug").agg(F.count("*").alias("pages")).orderBy("slug")

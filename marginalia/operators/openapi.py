@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -150,3 +152,34 @@ def by_tag(ops: DataFrame) -> DataFrame:
     """(tag, operations): operation ids of each tag in order (API-06)."""
     rows = ops.select(F.explode_outer(F.when(F.size("tags") > 0, F.col("tags"))).alias("tag"), F.struct("path", "method_rank", "operation_id").alias("op"))
     return rows.groupBy(F.coalesce("tag", F.lit("default")).alias("tag")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("op")), lambda x: x["operation_id"]), ",").alias("operations"))
+
+
+def responses(ops: DataFrame) -> DataFrame:
+    """(path, method, status, description, media) of every response of operations (API-05)."""
+    parsed = F.from_json(F.get_json_object("body", "$.responses"), "map<string, struct<description: string, content: map<string, string>>>")
+    each = ops.select("path", "method", F.explode(parsed).alias("status", "r"))
+    return each.select("path", "method", "status", F.coalesce("r.description", F.lit("")).alias("description"), F.array_join(F.array_sort(F.coalesce(F.map_keys("r.content"), F.array().cast("array<string>"))), ",").alias("media"))
+
+
+def mdx_safe(text: str) -> str:
+    """Prose of a document for MDX (STR-46): braces and angle brackets escaped, but in fences, code spans and autolinks."""
+    out = []
+    for part in re.split(r"(```[\s\S]*?```|`[^`\n]*`|<https?://[^>\s]+>)", text):
+        whole = part.startswith("`") or re.fullmatch(r"<https?://[^>\s]+>", part)
+        out.append(part if whole else re.sub(r"([{}<])", r"\\\1", part))
+    return "".join(out)
+
+
+def pages(ops: DataFrame, prefix: str = "api") -> DataFrame:
+    """(path, source) of a page for each operation, as MDX (SNK-13); summaries are escaped."""
+    head = F.concat(F.lit("---\ntitle: "), F.to_json(F.struct(F.col("operation_id").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("operation_id").alias("t")))) - 6), F.lit("\n---\n\n"))
+    safe = F.regexp_replace("summary", r"([{}<])", r"\\$1")
+    return ops.select(F.concat(F.lit(prefix + "/"), "operation_id", F.lit(".mdx")).alias("path"), F.concat(head, F.lit("<ApiEndpoint method=\""), F.upper("method"), F.lit('" path="'), F.col("path"), F.lit('" />\n\n'), safe, F.lit("\n")).alias("source"))
+
+
+def overridden(graph: dict, override: dict | Callable[[dict], dict | None] | None) -> dict:
+    """JSON-LD with overrides: a dictionary is merged, a function's result replaces it unless it is None (UDF-08)."""
+    if callable(override):
+        new = override(graph)
+        return graph if new is None else new
+    return {**graph, **(override or {})}

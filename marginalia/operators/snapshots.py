@@ -105,3 +105,10 @@ def last_changes(commits: DataFrame, window: int = 50) -> DataFrame:
     recent = commits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= window)
     human = F.min_by("author", F.when(~is_bot("author"), F.col("r")))
     return recent.groupBy("path").agg(F.max("ts").alias("last_modified"), human.alias("last_author"))
+
+
+def with_history(pages: DataFrame, changes: DataFrame) -> DataFrame:
+    """Pages with the date and author of their last change where they have none themselves (MDX-29)."""
+    told = changes.select("path", F.col("last_modified").alias("changed_"), F.col("last_author").alias("by_"))
+    both = pages.join(told, "path", "left")
+    return both.withColumns({"last_modified": F.coalesce("last_modified", "changed_"), "author": F.coalesce("author", "by_")}).drop("changed_", "by_")

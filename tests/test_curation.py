@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import content_checks as K
 from marginalia.operators import curation as U
+from marginalia.functions import text as T
 from marginalia.operators import locales as G
+from marginalia.operators import mdx, navigation, openapi, snapshots
 
 
 def rows(df):
@@ -63,3 +65,28 @@ def test_small_expressions(spark):
     assert one.select(U.rebase(F.lit("https://a.b/c"), "https://a.b", "https://x.y")).first()[0] == "https://x.y/c"
     found = spark.createDataFrame([("f", "r", "error", None, "m")], "file string, rule string, severity string, field string, message string")
     assert [K.report(found, s).first().line for s in ("pretty", "github")] == ["f: error r: m", "::error file=f::[r] m"]
+
+
+def test_page_metadata(spark):
+    body = "<Tag />\n\n## A *title* #\n\n- item\n\nSome [prose](x)\nhere.\n\nMore"
+    one = spark.createDataFrame([(body, {"url": "/mine", "a": "x {k:f}"})], "b string, f map<string,string>")
+    got = one.select(T.first_heading("b"), T.first_paragraph("b"), T.enriched("f", F.lit("/u"), F.array(F.lit("/old"))), T.fill_values("f", {"k": "K"}), T.output_path(F.lit("a/b.mdx"))).first()
+    assert got[0:2] == ("A title", "Some prose here.")
+    assert got[2] == {"url": "/mine", "a": "x {k:f}", "aliases": "/old"} and got[3]["a"] == "x K" and got[4] == "a/b.md"
+    pages = spark.createDataFrame([("a", None, "me"), ("b", "2020", None)], "path string, last_modified string, author string")
+    changes = spark.createDataFrame([("a", "2024", "x"), ("b", "2024", "y")], "path string, last_modified string, last_author string")
+    assert rows(snapshots.with_history(pages, changes)) == [("a", "2024", "me"), ("b", "2020", "y")]
+    groups = spark.createDataFrame([(1, ["A", "a ", "b"]), (2, ["B", ""])], "page_id int, groups array<string>")
+    assert [tuple(r) for r in navigation.inferred(groups).collect()] == [("a", 1), ("b", 2)]
+
+
+def test_api_pages(spark):
+    spec = {"openapi": "3.0.0", "paths": {"/a/{id}": {"get": {"summary": "Get {id}", "responses": {"200": {"description": "ok", "content": {"application/json": {}}}, "404": {}}}}}}
+    ops = openapi.operations(spark, spec)
+    assert rows(openapi.responses(ops)) == [("/a/{id}", "get", "200", "ok", "application/json"), ("/a/{id}", "get", "404", "", "")]
+    assert openapi.mdx_safe("a {b} `{c}` <d> <https://e.f>") == "a \\{b\\} `{c}` \\<d> <https://e.f>"
+    page = openapi.pages(ops).first()
+    assert page.path == "api/get-a-{id}.mdx" and "Get \\{id\\}" in page.source and 'title: "get-a-{id}"' in page.source
+    assert "`GET /a/{id}`" in mdx.to_markdown(page.source)
+    assert mdx.to_markdown('<ApiParameters rows={[{ name: "id", required: true }]} />') == "| name | required |\n| --- | --- |\n| id | true |\n"
+    assert openapi.overridden({"a": 1}, {"b": 2}) == {"a": 1, "b": 2} and openapi.overridden({"a": 1}, lambda g: None) == {"a": 1}
