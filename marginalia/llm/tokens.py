@@ -21,7 +21,7 @@ from .common import raw
 from .words import split
 
 #: Pieces that a worker remembers at most.
-KEEP = 800_000
+KEEP = 250_000
 
 _OTHER, _LETTER, _DIGIT, _MARK, _ODD = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _ODD, np.uint8)

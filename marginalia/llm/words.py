@@ -49,25 +49,10 @@ def split(body: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 @lru_cache(maxsize=8)
-def _seeded(seed: int) -> tuple[np.ndarray, int, int]:
+def _seeded(seed: int) -> tuple[np.ndarray, int]:
     rng = np.random.default_rng(0xB17E5 + seed)
     byte = rng.integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
-    base = int(rng.integers(2**40, 2**64 - 1, dtype=np.uint64)) | 5
-    return byte, base, pow(base, -1, 2**64)
-
-
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _powers(seed: int, inverse: bool, n: int) -> np.ndarray:
-    have = _POWERS.get((seed, inverse))
-    if have is None or len(have) < n:
-        base = np.uint64(_seeded(seed)[2 if inverse else 1])
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base)]))
-        _POWERS[(seed, inverse)] = have
-    return have[:n]
+    return byte, int(rng.integers(2**40, 2**64 - 1, dtype=np.uint64)) | 5
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,14 +70,17 @@ def hashes(body: np.ndarray, words: Words, lower: bool = False, seed: int = 0) -
     """A 64-bit hash of each word; ``lower`` maps A-Z to a-z first."""
     if len(words.start) == 0:
         return np.zeros(0, np.uint64)
-    byte = _seeded(seed)[0]
-    if lower:
-        byte = byte[_LOWER]
+    byte, base = _seeded(seed)
+    byte = byte[_LOWER] if lower else byte.copy()
+    byte[SPACE] = 0
+    size = words.end - words.start
+    longest, begin = int(size.max()), int(words.start[0])
+    place = np.arange(begin, len(body), dtype=np.int32)
+    place -= np.repeat(words.start.astype(np.int32), np.diff(np.append(words.start, len(body))))
+    np.minimum(place, longest - 1, out=place)  # only white space is beyond, which counts nothing
     with np.errstate(over="ignore"):
-        sums = np.empty(len(body) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(byte[body] * _powers(seed, False, len(body)), out=sums[1:])
-        h = (sums[words.end] - sums[words.start]) * _powers(seed, True, len(body) + 1)[words.start]
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(longest - 1, np.uint64(base))]))
+        h = np.add.reduceat(byte[body[begin:]] * power[place], words.start - begin)
     return mix(h ^ (words.end - words.start).astype(np.uint64))
 
 
