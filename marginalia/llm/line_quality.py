@@ -1,9 +1,9 @@
 """Operator 3: quality rules by the frequency of lines across documents, in DataFrame functions only.
 
-Normalised lines are hashed; for each host, a line's distinct documents and distinct surroundings (the
-lines before and after it) are counted. Lines above both limits are boilerplate and are removed; a
-document that loses most of its words is depleted and is rejected. Copies of a whole document share
-lines but not surroundings, so a group of copies isn't boilerplate.
+Normalised lines are hashed; for each host, the distinct documents that hold a line are counted, where
+documents with the same set of lines count as one. Lines above the limit are boilerplate and are removed,
+alone or in blocks; a document that loses most of its words is depleted and is rejected. Copies of a
+whole document share their set of lines, so a group of copies isn't boilerplate.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from .common import materialize
 #: ASCII white space, which parts words.
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate in more documents of its host, and in more surroundings, than these.
-MAX_DOCS, MAX_SURROUNDINGS = 20, 10
+#: A line is boilerplate in more documents of its host, copies counted once, than these.
+MAX_DOCS = 20
 #: A document keeps at least this percentage of its words, or is depleted.
 LEAST_LEFT = 30
 LEAST_WORDS, MAX_REPEATED = 50, 50
@@ -79,18 +79,14 @@ def measures(docs: DataFrame, host: Column) -> DataFrame:
     )
 
 
-def boilerplate(rows: DataFrame, max_docs: int, max_surroundings: int) -> DataFrame:
-    """(host, line) of lines above both limits."""
-    within = rows.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    around = F.array_distinct(F.transform("line", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.get("line", i - 1), F.get("line", i + 1)).alias("near"))))
-    apart = (
-        rows.select("host", F.explode(around).alias("a")).groupBy("host", F.col("a.line").alias("line"), F.col("a.near").alias("near")).agg(F.lit(1).alias("one"))
-        .groupBy("host", "line").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") > max_surroundings)
-    )
-    return within.join(apart, ["host", "line"]).select("host", "line")
+def boilerplate(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(host, line) of lines in more than ``max_docs`` distinct sets of lines of the host."""
+    held = rows.select("host", F.array_sort(F.array_distinct("line")).alias("line"))
+    apart = held.withColumn("copy", F.xxhash64("line")).dropDuplicates(["host", "copy"])
+    return apart.select("host", F.explode("line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
-def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MAX_DOCS, max_surroundings: int = MAX_SURROUNDINGS, least_left: int = LEAST_LEFT) -> DataFrame:
+def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MAX_DOCS, least_left: int = LEAST_LEFT) -> DataFrame:
     """The rules' measures and verdict for every document.
 
     Takes doc_id, text and what ``host`` (by default source) needs. A null text has no words, a null host
@@ -102,7 +98,7 @@ def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MA
     without a doc_id keep all lines.
     """
     rows = materialize(measures(docs, F.col("source") if host is None else host))
-    bad = boilerplate(rows, max_docs, max_surroundings)
+    bad = boilerplate(rows, max_docs)
     hit = rows.select("doc_id", "host", F.explode(F.array_distinct("line")).alias("line")).join(bad, ["host", "line"])
     hit = hit.groupBy("doc_id").agg(F.collect_set("line").alias("bad_lines"))
     gone = F.aggregate(F.zip_with("line", "line_words", lambda x, n: F.when(F.array_contains("bad_lines", x), n).otherwise(0)), F.lit(0), lambda a, n: a + n)

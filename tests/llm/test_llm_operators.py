@@ -259,6 +259,21 @@ def test_line_quality(spark):
     assert line_quality.line_quality(table(spark, [])).count() == 0
 
 
+def test_boilerplate_of_several_lines(spark):
+    rng = random.Random(13)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    footer = "\n".join(f"footer line {k} of five" for k in range(5))
+    block = "\n".join(f"notice line {k} of five" for k in range(5))
+    texts = [f"{own(60)}\n{block}\n{own(60)}\n{footer}" for _ in range(30)]
+    texts += ["\n".join(own(20) for _ in range(4))] * 30 + [f"{own(4)}\n{footer}\n" + f"{block}\n" * 3]
+    got = {r.doc_id: r for r in line_quality.line_quality(table(spark, texts)).collect()}
+    assert all(got[i].n_removed_words == 50 and got[i].kept for i in range(30))
+    assert all(got[i].n_removed_words == 0 for i in range(30, 60))
+    assert got[60].n_removed_words == 100 and not got[60].kept
+    left = {r.doc_id: r.text for r in line_quality.without_boilerplate(table(spark, texts)).collect()}
+    assert all(left[i] == "\n".join(texts[i].split("\n")[k] for k in (0, 6)) for i in range(30))
+
+
 # ---- 4 ----
 
 
