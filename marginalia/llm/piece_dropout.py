@@ -2,8 +2,9 @@
 
 Units (a run of spaces and what follows up to the next one) are encoded all at once: in each round, every
 unit does the best merge on its agenda. A candidate merge is skipped for good when a keyed hash of
-(seed, variant, unit, place, piece) says so; the variant comes from the document and the unit's number in
-it, so that a word is split in varied ways and yet the same way again in a recomputed task.
+(seed, document, number of the unit in it, unit, place, piece) says so, so that every occurrence of a word
+has draws of its own and yet the same ones again in a recomputed task. Occurrences of a unit share their
+merges only where the same candidates are skipped.
 """
 
 from __future__ import annotations
@@ -21,10 +22,23 @@ from pyspark.sql import DataFrame
 from .common import over_batches, raw, texts
 from .words import mix
 
-DROPOUT, SEED, VARIANTS = 0.1, 42, 4
+DROPOUT, SEED = 0.1, 42
 #: Units encoded at once.
 BLOCK = 50_000
+#: Draws made at once; candidates a unit has at most for its occurrences to share merges.
+DRAWS, SHARED = 1_000_000, 64
 SPACE = "▁"
+HASH = 0x9E3779B97F4A7C15
+
+
+def salts(units: list[bytes]) -> np.ndarray:
+    """What tells units apart in their draws."""
+    return np.fromiter((zlib.crc32(u) for u in units), np.uint64, len(units)) << np.uint64(20)
+
+
+def limit_of(dropout: float) -> np.uint64:
+    """Hashes below this skip a merge."""
+    return np.uint64(min(int(dropout * 2**64), 2**64 - 1))
 
 
 def default_model() -> str:
@@ -60,6 +74,11 @@ class PieceModel:
         score = np.array([sp.get_score(i) for i in range(n)])
         self.rank = np.empty(n, np.int64)
         self.rank[np.argsort(-score, kind="stable")] = np.arange(n)
+        # Pieces by a hash of their letters; ``longest`` letters at most.
+        whole = sorted((self._letters_hash([self.letters[c] for c in x]), i) for x, i in normal.items() if len(x) > 1 and all(c in self.letters for c in x))
+        self.spelt = np.array([a for a, _ in whole], np.uint64)
+        self.spelt_id = np.array([b for _, b in whole], np.int64)
+        self.longest = max((len(self.pieces[b]) for _, b in whole), default=0)
         slots = 1 << 21
         self.maybe = np.zeros(slots, bool)
         self.maybe[self._slot(self.pair)] = True
@@ -71,6 +90,41 @@ class PieceModel:
     def _slot(pair: np.ndarray) -> np.ndarray:
         return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
 
+    @staticmethod
+    def _letters_hash(ids: list[int]) -> int:
+        h = 0
+        for x in ids:
+            h = (h * HASH + x + 1) % 2**64
+        return h
+
+    def candidates(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """place * size + piece of every merge that a unit may meet, by unit, and how many each unit has.
+
+        These are its runs of letters that are pieces; a run that no merge reaches does no harm.
+        """
+        given = [self.symbols(u) for u in units]
+        size = np.array([len(g) for g in given], np.int64)
+        ids = np.fromiter((x for g in given for x in g), np.int64, int(size.sum())).astype(np.uint64)
+        unit = np.repeat(np.arange(len(units)), size)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        left = size[unit] - place
+        at, h = np.arange(len(ids)), ids + np.uint64(1)
+        found_unit, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in range(2, self.longest + 1):
+            more = left[at] >= n
+            at = at[more]
+            h = h[more] * np.uint64(HASH) + ids[at + n - 1] + np.uint64(1)
+            k = np.minimum(np.searchsorted(self.spelt, h), len(self.spelt) - 1)
+            hit = self.spelt[k] == h
+            found_unit.append(unit[at[hit]])
+            found.append(place[at[hit]] * self.size + self.spelt_id[k[hit]])
+        by = np.concatenate(found_unit)
+        return np.concatenate(found)[np.argsort(by, kind="stable")], np.bincount(by, minlength=len(units))
+
+    def keys(self, salt: np.ndarray, variant: np.ndarray, seed: int) -> np.ndarray:
+        """The keys of units' draws."""
+        return mix(mix(salt ^ variant.astype(np.uint64)) ^ np.uint64(seed))
+
     def symbols(self, unit: bytes) -> list[int]:
         """Ids of a unit's characters; those that aren't letters of the model are bytes. A written U+2581 is, too."""
         out: list[int] = []
@@ -89,9 +143,8 @@ class PieceModel:
         ids = np.fromiter((x for g in given for x in g), np.int64, int(size.sum()))
         unit = np.repeat(np.arange(len(units)), size)
         place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-        salt = np.fromiter((zlib.crc32(u) for u in units), np.uint64, len(units)) << np.uint64(20)
-        key = mix(mix(salt ^ variant.astype(np.uint64)) ^ np.uint64(seed))
-        limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+        key = self.keys(salts(units), variant, seed)
+        limit = limit_of(dropout)
         done_ids, done_unit, done_place = [], [], []
         while len(ids):
             same = np.flatnonzero(unit[1:] == unit[:-1])
@@ -137,7 +190,37 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(model: PieceModel, column: pa.Array, doc_ids: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def shared(model: PieceModel, distinct: list[bytes], index: np.ndarray, drawn: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of units ``index`` that stand for all, and each occurrence's among these: those of a
+    unit with the same candidates skipped are one. A unit of more than SHARED candidates shares nothing.
+    """
+    codes, n = model.candidates(distinct)
+    first, salt, limit = np.cumsum(n) - n, salts(distinct), limit_of(dropout)
+    skipped = np.zeros(len(index), np.uint64)
+    many = n[index] > SHARED
+    skipped[many] = np.flatnonzero(many)
+    few = np.flatnonzero(~many & (n[index] > 0))
+    each = np.cumsum(n[index[few]])
+    lo = 0
+    while lo < len(few):
+        hi = max(lo + 1, int(np.searchsorted(each, (each[lo - 1] if lo else 0) + DRAWS, side="right")))
+        at = few[lo:hi]
+        count = n[index[at]]
+        begin = np.cumsum(count) - count
+        bit = np.arange(int(count.sum())) - np.repeat(begin, count)
+        code = codes[np.repeat(first[index[at]], count) + bit]
+        hit = mix(np.repeat(model.keys(salt[index[at]], drawn[at], seed), count) ^ code.astype(np.uint64)) < limit
+        skipped[at] = np.add.reduceat(hit.astype(np.uint64) << bit.astype(np.uint64), begin)
+        lo = hi
+    order = np.lexsort((skipped, index))
+    new = np.ones(len(order), bool)
+    new[1:] = (index[order[1:]] != index[order[:-1]]) | (skipped[order[1:]] != skipped[order[:-1]])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def encode(model: PieceModel, column: pa.Array, doc_ids: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and each text's end among them; an empty text has none."""
     body, offsets = raw(column)
     n = len(offsets) - 1
@@ -160,12 +243,15 @@ def encode(model: PieceModel, column: pa.Array, doc_ids: np.ndarray, dropout: fl
     first = np.searchsorted(at, np.append(starts, len(flat)))
     doc = np.repeat(np.arange(n), np.diff(first))
     number = np.arange(len(at)) - first[doc]
-    drawn = mix(mix(doc_ids[doc].astype(np.int64).view(np.uint64) ^ np.uint64(seed)) + number.astype(np.uint64)) % np.uint64(variants) if dropout > 0 else np.zeros(len(at), np.uint64)
-    kinds, back = np.unique(index * variants + drawn.astype(np.int64), return_inverse=True)
+    drawn = mix(mix(doc_ids[doc].astype(np.int64).view(np.uint64) ^ np.uint64(seed)) + number.astype(np.uint64))
+    if dropout > 0:
+        kinds, back = shared(model, distinct, index, drawn, dropout, seed)
+    else:
+        _, kinds, back = np.unique(index, return_index=True, return_inverse=True)
     parts, counts = [], []
     for lo in range(0, len(kinds), BLOCK):
         some = kinds[lo : lo + BLOCK]
-        ids, stops = model.merge([distinct[i] for i in (some // variants).tolist()], some % variants, dropout, seed)
+        ids, stops = model.merge([distinct[i] for i in index[some].tolist()], drawn[some], dropout, seed)
         parts.append(ids)
         counts.append(np.diff(stops, prepend=0))
     ids, count = np.concatenate(parts), np.concatenate(counts)
@@ -178,12 +264,12 @@ def encode(model: PieceModel, column: pa.Array, doc_ids: np.ndarray, dropout: fl
 SCHEMA = "doc_id long, n_pieces long, ids_sha256 string, lossless boolean, ids array<int>"
 
 
-def piece_dropout(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, with_ids: bool = True) -> DataFrame:
+def piece_dropout(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """Every text as ids of a SentencePiece merge model, with merges dropped, decoded again as a check.
 
     Takes doc_id and text; other columns are ignored. A null or empty text has no ids; a null doc_id draws
-    as -1. ``dropout`` 0 gives the model's own segmentation. A unit has ``variants`` segmentations across
-    the corpus, drawn by (seed, doc_id, number of the unit). Returns n_pieces, the SHA-256 of the ids as
+    as -1. ``dropout`` 0 gives the model's own segmentation. Every occurrence of a unit has draws of its
+    own, by (seed, doc_id, number of the unit). Returns n_pieces, the SHA-256 of the ids as
     little-endian 32-bit numbers, ``lossless`` (decoding gave the text), and ``ids`` (null without
     ``with_ids``). Repeated rows have equal results.
     """
@@ -192,7 +278,7 @@ def piece_dropout(docs: DataFrame, model: str | None = None, dropout: float = DR
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         coder = piece_model(path)
         doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-        ids, ends = encode(coder, batch.column(1), doc_ids, dropout, seed, variants)
+        ids, ends = encode(coder, batch.column(1), doc_ids, dropout, seed)
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         sha, same = [], []
         for a, b, text in zip(begins.tolist(), ends.tolist(), batch.column(1).to_pylist(), strict=True):

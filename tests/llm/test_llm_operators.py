@@ -420,6 +420,29 @@ def test_merge_dropout_against_an_agenda():
             assert parts[k].tolist() == brute_merge(model, u, int(v), dropout, 9)
 
 
+def test_every_occurrence_has_draws_of_its_own():
+    from marginalia.llm.words import mix
+
+    model, u = piece_dropout.piece_model(piece_dropout.default_model()), np.uint64
+    words = ["the", "of", "a", "international", "naïve", "xyzzy" * 20, "é中"]
+    texts = [" ".join(words[(d + k) % len(words)] for k in range(40)) for d in range(12)] + ["", "the\n the"]
+    docs = np.arange(len(texts)) - 1
+    for dropout in (0.1, 0.5, 1.0):
+        ids, ends = piece_dropout.encode(model, pa.array(texts), docs, dropout, 9)
+        begin = 0
+        for d, t, e in zip(docs, texts, ends.tolist()):
+            units = [x.encode() for x in re.findall(r"\n| +[^ \n]*|[^ \n]+", " " + t)] if t else []
+            drawn = [mix(mix(np.array([d]).view(u) ^ u(9)) + u(k))[0] for k in range(len(units))]
+            assert ids[begin:e].tolist() == [x for w, v in zip(units, drawn) for x in brute_merge(model, w, v, dropout, 9)]
+            begin = e
+    ids, ends = piece_dropout.encode(model, pa.array(["of"] * 3000), np.arange(3000), 0.1, 42)
+    seen = Counter(tuple(x) for x in np.split(ids, ends[:-1]))
+    whole = tuple(model.merge([b" of"], np.array([0]), 0.0, 42)[0])
+    assert 0 < sum(n for x, n in seen.items() if x != whole) / 3000 < 0.5
+    many, stops = piece_dropout.encode(model, pa.array(["international"] * 3000), np.arange(3000), 0.1, 42)
+    assert len({tuple(x) for x in np.split(many, stops[:-1])}) > 4
+
+
 # ---- 9 ----
 
 
