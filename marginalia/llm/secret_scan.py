@@ -24,8 +24,10 @@ MORE = ("url", "block")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole from its start, so this drops just the short ones
-_URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,200}:([^\s:/@]{4,200})@")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END")
+# A longer scheme just makes the span begin later.
+_URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:([^\s:/@]{4,}+)@")
+# Header lines (also where line feeds have become spaces) go before the base64.
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?!-----END)\s*+(?:[A-Za-z][A-Za-z0-9-]*+:(?:(?:(?!-----)[^\n])*+\n|\x20*+\S++)\s*+)*+[A-Za-z0-9+/=\s]*+-----END")
 
 #: Owners of a value from which it is an example; bits a character that a live-looking value has at least.
 COPIED_OWNERS, LIVE_BITS, LIVE_LENGTH = 3, 2.5, 12

@@ -325,6 +325,20 @@ def test_secrets(spark):
     assert clean[n + 3].text == f"SECRET={shared} [secret]"
 
 
+def test_long_url_passwords_and_keys_with_headers():
+    long = "eyJ0" + "aB3dE5gH" * 40
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    body = "MIIEowIBAAKCAQEA7b+/x9\nq8Zr4Tt1==\n"
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}-----END"
+    for text, kind, value in (
+        (f"x https://{'u' * 300}:{long}@h.x y", 3, long), ("redis://:hunter22pass@h:6379", 3, "hunter22pass"), (f"a {key} RSA PRIVATE KEY-----", 4, key),
+        (key.replace("Proc", "Comment: two words\nProc"), 4, None), (" ".join(key.split()), 4, None), (key.replace(head, ""), 4, None),
+    ):
+        found = [x for x in secret_scan.candidates(text) if x[0] == kind]
+        assert len(found) == 1 and (value or text) == found[0][3]
+    assert not [x for x in secret_scan.candidates("-----BEGIN PRIVATE KEY----------END and -----BEGIN PRIVATE KEY----- is prose, -----END") if x[0] == 4]
+
+
 # ---- 7 ----
 
 
