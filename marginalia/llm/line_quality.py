@@ -86,6 +86,11 @@ def boilerplate(rows: DataFrame, max_docs: int) -> DataFrame:
     return apart.select("host", F.explode("line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
+def fails(n_words: Column, n_repeat_words: Column) -> Column:
+    """Whether a document fails by its own words."""
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
+
+
 def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MAX_DOCS, least_left: int = LEAST_LEFT) -> DataFrame:
     """The rules' measures and verdict for every document.
 
@@ -103,20 +108,25 @@ def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MA
     hit = hit.groupBy("doc_id").agg(F.collect_set("line").alias("bad_lines"))
     gone = F.aggregate(F.zip_with("line", "line_words", lambda x, n: F.when(F.array_contains("bad_lines", x), n).otherwise(0)), F.lit(0), lambda a, n: a + n)
     removed = F.when(F.col("bad_lines").isNull(), F.lit(0)).otherwise(gone).cast("long")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    failed = fails(F.col("n_words"), F.col("n_repeat_words"))
     out = rows.join(hit, "doc_id", "left").withColumn("n_removed_words", removed).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_removed_words")) >= least_left * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words", "bad_lines")
 
 
 def without_boilerplate(docs: DataFrame, **limits: int) -> DataFrame:
-    """``docs`` (unique doc_id) without rejected documents and, in those that stay, without boilerplate lines; all columns stay."""
+    """``docs`` (unique doc_id) without rejected documents and, in those that stay, without boilerplate lines; all columns stay.
+
+    Rows without a doc_id keep all lines, and stay unless they fail by their own words.
+    """
     told = line_quality(docs, **limits).where("kept").select(F.col("doc_id").alias("doc_id_"), F.col("bad_lines").alias("bad_"))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("bad_", F.xxhash64(normalised(x)))), "\n")
     text = F.when(F.col("bad_").isNull(), F.col("text")).otherwise(left)
     joined = docs.join(told, F.col("doc_id") == F.col("doc_id_"))
     size = F.when(F.col("bad_").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
-    return joined.select([text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    named = joined.select([text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    verdict = let(words(F.coalesce("text", F.lit(""))), lambda w: fails(F.size(w), repeated_words(w)))
+    return named.unionByName(docs.where(F.col("doc_id").isNull()).where(~verdict))
 
 
 SQL = r"""

@@ -80,6 +80,16 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     return over_batches(texts(docs, *keep), run, SCAN + "".join(f", {k} {kinds[k]}" for k in keep))
 
 
+def row_key() -> Column:
+    """What tells rows without a doc_id apart: their text, by which alone they are judged; null for others."""
+    return F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of one document, or without doc_id and of one text."""
+    return a["doc_id"].eqNullSafe(b["doc_id_"]) & a["row_"].eqNullSafe(b["row__"])
+
+
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """Secrets of every document, each judged by how widely its value is copied.
 
@@ -89,14 +99,19 @@ def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | N
     ``found`` (all candidates), and ``judged``, the candidates as (kind, start, end, owners,
     repositories, verdict), in order: "example" if COPIED_OWNERS or more owners hold the value, "live"
     if one does and it looks random, else "weak". Rows that repeat a doc_id count once for its owner,
-    and each gets the judgements of all. A value that many documents hold is counted by partial sums
+    and each gets the judgements of all; rows without a doc_id are judged by their own texts. A value that many documents hold is counted by partial sums
     and joined by a join that splits skewed keys.
     """
+    return _secrets(docs, owner, repository).drop("row_")
+
+
+def _secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
+    """``secrets`` with the rows' keys in row_."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
-    docs = docs.select("doc_id", "text", F.coalesce(owner.cast("string"), F.lit("?")).alias("owner_"), F.coalesce(repository.cast("string"), F.lit("?")).alias("repo_"))
-    scanned = materialize(scan(docs, "owner_", "repo_"))
-    each = scanned.select("doc_id", "owner_", "repo_", F.explode("found").alias("f")).select("doc_id", "owner_", "repo_", "f.*")
+    docs = docs.select("doc_id", "text", F.coalesce(owner.cast("string"), F.lit("?")).alias("owner_"), F.coalesce(repository.cast("string"), F.lit("?")).alias("repo_"), row_key().alias("row_"))
+    scanned = materialize(scan(docs, "owner_", "repo_", "row_"))
+    each = scanned.select("doc_id", "row_", "owner_", "repo_", F.explode("found").alias("f")).select("doc_id", "row_", "owner_", "repo_", "f.*")
     held = (
         each.groupBy("value_hash", "owner_", "repo_").agg(F.lit(1).alias("one"))
         .groupBy("value_hash", "owner_").agg(F.count("*").alias("repos"))
@@ -105,10 +120,10 @@ def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | N
     verdict = F.when(F.col("owners") >= COPIED_OWNERS, "example").when(F.col("looks_live"), "live").otherwise("weak")
     judged = (
         each.join(held, "value_hash")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("doc_id_"), F.col("row_").alias("row__"))
         .agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repositories", verdict.alias("verdict")))).alias("judged"))
     )
-    return scanned.join(judged, "doc_id", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "judged")
+    return scanned.join(judged, same_row(scanned, judged), "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "judged", "row_")
 
 
 def span_text(found: str = "found") -> Column:
@@ -120,9 +135,10 @@ def span_text(found: str = "found") -> Column:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every live secret's span replaced by ``mask`` (n_chars follows); all columns stay.
 
-    Spans that overlap are masked as one. A document without live secrets keeps its row as it is.
+    Spans that overlap are masked as one. A document without live secrets keeps its row as it is. Rows
+    without a doc_id are masked by their own texts.
     """
-    live = secrets(docs).select("doc_id", F.expr("filter(judged, x -> x.verdict = 'live')").alias("live_")).where("size(live_) > 0").dropDuplicates(["doc_id"])
+    live = _secrets(docs).select(F.col("doc_id").alias("doc_id_"), F.col("row_").alias("row__"), F.expr("filter(judged, x -> x.verdict = 'live')").alias("live_")).where("size(live_) > 0").dropDuplicates(["doc_id_", "row__"])
     cuts = F.aggregate(
         "live_",
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
@@ -133,7 +149,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             )
         ),
     )
-    joined = docs.join(live, "doc_id", "left").withColumn("cut_", F.when(F.size("live_") > 0, cuts))
+    keyed = docs.withColumn("row_", row_key())
+    joined = keyed.join(live, same_row(keyed, live), "left").withColumn("cut_", F.when(F.size("live_") > 0, cuts))
     text = F.when(F.col("cut_").isNotNull(), F.concat(F.col("cut_.done"), F.substring(F.col("text"), F.col("cut_.at") + 1, F.length("text")))).otherwise(F.col("text"))
     changed = F.col("cut_").isNotNull()
     out = [text.alias(c) if c == "text" else F.when(changed, F.length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

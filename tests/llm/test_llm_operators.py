@@ -586,3 +586,17 @@ def test_rows_without_doc_id(spark):
     assert minhash_dedup.near_duplicates(df).count() == 3 and minhash_dedup.without_near_duplicates(df).count() == 4
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert byte_cnn.classify(df, labels).count() == 4
+
+
+def test_pipeline_stages_keep_rows_without_doc_id(spark):
+    live, prose_ = "password = f3a9c1d7b2e84f60a1c5d9e7", " ".join(f"u{i}" for i in range(60))
+    none = [prose_, prose_ + " v", f"{live} one", f"two {live}", "x", None, "la " * 80]
+    df = table(spark, [prose_ + " w", "three"]).union(spark.createDataFrame([(None, t, "en", "s", len(t or ""), 0, "p") for t in none], SCHEMA))
+    texts = lambda out: sorted(str(r.text) for r in out.collect())
+    assert texts(line_quality.without_boilerplate(df)) == sorted([prose_, prose_ + " v", prose_ + " w"])
+    want = [prose_ + " w", "three", prose_, prose_ + " v", "[secret] one", "two [secret]", "x", "None", "la " * 80]
+    clean = secret_scan.redact(df.union(df.where("text = 'x'")))
+    assert texts(clean) == sorted([*want, "x"]) and clean.columns == df.columns
+    assert all(r.n_chars == len(r.text or "") for r in clean.collect())
+    # An equal text in a row with a doc_id is judged by that id.
+    assert texts(secret_scan.redact(table(spark, [f"{live} one"]).union(df.where("text like '%one'")))) == ["[secret] one"] * 2
