@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..llm.common import materialize
 
 # Crawlers that fetch for answers, those that gather training data, and names in user agents.
 RETRIEVAL = (
@@ -41,18 +44,22 @@ def in_order(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy(F.asc_nulls_last("ord"), "path")
 
 
-def tree(nodes: DataFrame, depth: int = 8) -> DataFrame:
+def tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, root, level, sort_path, trail) of (node, parent, ord, title): each node's place in depth-first order (ARR-07, ARR-16, NAV-09).
 
-    Levels are joined one by one, from the roots (null parent) down, ``depth`` at most.
+    Levels are joined one by one, from the roots (null parent) down, until none is left or ``depth`` are placed.
     """
     key = lambda: F.struct(F.col("ord").alias("ord"), F.col("node").alias("node"))
     level = nodes.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("level"), F.array(key()).alias("sort_path"), F.array("title").alias("trail"))
-    out = level
-    for k in range(1, depth):
+    level = out = materialize(level)
+    for k in itertools.count(1):
+        if k == depth:
+            break
         child = nodes.where("parent is not null").alias("c").join(level.alias("p"), F.col("c.parent") == F.col("p.node"))
         place = F.concat("p.sort_path", F.array(F.struct(F.col("c.ord").alias("ord"), F.col("c.node").alias("node"))))
-        level = child.select("c.node", "p.root", F.lit(k).alias("level"), place.alias("sort_path"), F.concat("p.trail", F.array("c.title")).alias("trail"))
+        level = materialize(child.select("c.node", "p.root", F.lit(k).alias("level"), place.alias("sort_path"), F.concat("p.trail", F.array("c.title")).alias("trail")))
+        if level.isEmpty():
+            break
         out = out.union(level)
     return out
 

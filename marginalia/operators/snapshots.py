@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..llm.common import materialize
 
 MOVED, GONE = 308, 410
-#: Hops of a redirect chain that are followed; a longer chain counts as a loop.
-HOPS = 16
 # Authors that are bots, besides names with [bot] or a bot suffix.
 BOTS = ["claude", "claude code", "codex", "dependabot", "github-actions", "github actions", "netlify", "openai codex", "renovate", "vercel"]
 
@@ -24,17 +23,19 @@ def moves(before: DataFrame, now: DataFrame) -> DataFrame:
 def resolve_chains(links: DataFrame, targets: DataFrame) -> DataFrame:
     """(from, to) with ``to`` followed through ``targets`` (from, to); null where it loops (JOI-16).
 
-    Each round follows one hop of those that still have one, HOPS at most.
+    Each round doubles the hops that are followed, until no target goes on; after as many hops as there
+    are targets, only loops do. ``targets`` has each from once.
     """
-    hop = targets.select(F.col("from").alias("to"), F.col("to").alias("next"))
-    now = links.select("from", "to", F.array("to").alias("seen"))
-    for _ in range(HOPS):
-        now = now.join(hop, "to", "left").select(
-            "from",
-            F.when(F.array_contains("seen", F.col("next")), None).otherwise(F.coalesce("next", "to")).alias("to"),
-            F.when(F.col("next").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("next"))).alias("seen"),
-        )
-    return now.select("from", "to")
+    jump = materialize(targets.where("to is not null").select(F.col("from").alias("at"), F.col("to").alias("next")))
+    now, start = links.select("from", "to"), jump
+    for _ in range(jump.count().bit_length()):
+        now = materialize(now.join(jump, F.col("to") == F.col("at"), "left").select("from", F.coalesce("next", "to").alias("to")))
+        if now.join(start, F.col("to") == F.col("at"), "left_semi").isEmpty():
+            return now
+        far = jump.select(F.col("at").alias("at_"), F.col("next").alias("next_"))
+        jump = materialize(jump.join(far, F.col("next") == F.col("at_"), "left").select("at", F.coalesce("next_", "next").alias("next")))
+    loops = start.select("at", F.lit(True).alias("loops"))
+    return now.join(loops, F.col("to") == F.col("at"), "left").select("from", F.when(F.col("loops").isNull(), F.col("to")).alias("to"))
 
 
 def redirects(before: DataFrame, now: DataFrame, claims: DataFrame, removed: DataFrame, history: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def nav_dfs(spark: SparkSession, d: str) -> DataFrame:
     """ARR-07, ARR-16, NAV-09: the tree in depth-first order with breadcrumbs; positions by roots, then within them."""
     from pyspark.sql import Window
 
-    t = N.tree(_nodes(spark, d), 4)
+    t = N.tree(_nodes(spark, d))
     size = t.groupBy("root").agg(F.count("*").alias("size"))
     first = size.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each root
     pos = F.row_number().over(Window.partitionBy("root").orderBy("sort_path"))
@@ -51,19 +51,19 @@ def nav_dfs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TREE} SELECT node, root, lag(node) OVER w AS previous, lead(node) OVER w AS next FROM t WINDOW w AS (PARTITION BY root ORDER BY path)")
 def adjacent_pages(spark: SparkSession, d: str) -> DataFrame:
     """WIN-02: previous and next pages."""
-    return N.neighbours(N.tree(_nodes(spark, d), 4))
+    return N.neighbours(N.tree(_nodes(spark, d)))
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT root, coalesce(arg_min(node, path) FILTER (WHERE level > 0), root) AS first FROM t GROUP BY root")
 def header_tabs(spark: SparkSession, d: str) -> DataFrame:
     """NAV-08: the first page of each root group."""
-    return N.tabs(N.tree(_nodes(spark, d), 4))
+    return N.tabs(N.tree(_nodes(spark, d)))
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT node, level FROM t WHERE len(list_filter(path, lambda x: x.node = 103)) > 0")
 def sidebar(spark: SparkSession, d: str) -> DataFrame:
     """NAV-07, SET-07: pages below a group."""
-    return N.below(N.tree(_nodes(spark, d), 4), 103).select("node", F.col("level").cast("long").alias("level"))
+    return N.below(N.tree(_nodes(spark, d)), 103).select("node", F.col("level").cast("long").alias("level"))
 
 
 _LOC = "(SELECT doc_id AS page_id, lang AS locale, CAST(doc_id // 4 AS VARCHAR) AS logical_path FROM documents QUALIFY row_number() OVER (PARTITION BY lang, doc_id // 4 ORDER BY doc_id) = 1)"

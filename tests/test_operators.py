@@ -108,6 +108,17 @@ def test_chain_loops(spark):
     assert snapshots.resolve_chains(t, t).where("from = 'a'").first().to is None
 
 
+def test_long_chains_and_deep_trees(spark):
+    steps = [(f"p{k}", f"p{k + 1}") for k in range(40)] + [(f"l{k}", f"l{(k + 1) % 21}") for k in range(21)] + [("in", "l3"), ("s", "s"), ("g", None)]
+    t = spark.createDataFrame(steps, "from string, to string")
+    got = {r["from"]: r.to for r in snapshots.resolve_chains(t, t).collect()}
+    assert len(got) == len(steps) and all(got[f"p{k}"] == "p40" for k in range(40))
+    assert all(v is None for k, v in got.items() if k[0] != "p")
+    n = spark.createDataFrame([(k, k - 1 if k else None, 1, f"n{k}") for k in range(12)], "node int, parent int, ord int, title string")
+    assert [r.node for r in navigation.tree(n).orderBy("sort_path").collect()] == [*range(12)]
+    assert navigation.tree(n, 4).count() == 4
+
+
 def test_bots(spark):
     df = spark.createDataFrame([("Renovate",), ("x[bot]",), ("my-bot",), ("Bob",), ("abbot",)], "a string").select(snapshots.is_bot("a").alias("b"))
     assert [r.b for r in df.collect()] == [True, True, True, False, False]
