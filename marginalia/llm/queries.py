@@ -50,8 +50,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as SentencePiece ids with merge-dropout: digests, and whether decoding gave the text."""
-    return piece_dropout.piece_dropout(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    """Every document as SentencePiece ids with merge-dropout: the ids, their digest, and whether decoding gave the text."""
+    return piece_dropout.piece_dropout(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

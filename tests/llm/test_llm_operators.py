@@ -409,7 +409,7 @@ def brute_merge(model, unit, variant, dropout, seed):
 
     u = np.uint64
     key = mix(mix((u(zlib.crc32(unit)) << u(20)) ^ u(variant)) ^ u(seed))
-    ids = [(x, k) for k, x in enumerate(model.symbols(unit))]
+    ids = [(x, k) for k, x in enumerate(model.symbols([unit])[0].tolist())]
     table = dict(zip(model.pair.tolist(), model.merged.tolist()))
     limit = int(dropout * 2**64)
     while True:
@@ -424,14 +424,27 @@ def brute_merge(model, unit, variant, dropout, seed):
         ids[k : k + 2] = [(new, ids[k][1])]
 
 
-def test_merge_dropout_against_an_agenda():
+def test_merge_dropout_against_an_agenda(monkeypatch):
     model = piece_dropout.piece_model(piece_dropout.default_model())
-    units = [b" international", b" the", b"\n", " naïve".encode(), b" aaaaaaa", b" xyzzyxyzzy"]
-    for dropout in (0.0, 0.1, 0.5):
-        ids, ends = model.merge(units * 2, np.repeat([0, 3], len(units)), dropout, 9)
-        parts = np.split(ids, ends[:-1])
-        for k, (u, v) in enumerate(zip(units * 2, np.repeat([0, 3], len(units)))):
-            assert parts[k].tolist() == brute_merge(model, u, int(v), dropout, 9)
+    units = [b" international", b" the", b"\n", " naïve".encode(), b" aaaaaaa", b" xyzzyxyzzy", b" " + b"internationalthe" * 9, b" " * 90 + b"x"]
+    for remembered in (piece_dropout.REMEMBERED, 0):
+        monkeypatch.setattr(piece_dropout, "REMEMBERED", remembered)
+        monkeypatch.setattr(piece_dropout, "BLOCK", 5)
+        for dropout in (0.0, 0.1, 0.5):
+            index, drawn = np.tile(np.arange(len(units)), 3), np.repeat([0, 3, 4], len(units)).astype(np.uint64)
+            ids, count = piece_dropout.Agendas(model).encode(units, index, drawn, dropout, 9)
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for k, (u, v) in enumerate(zip(units * 3, drawn)):
+                assert parts[k].tolist() == brute_merge(model, u, int(v), dropout, 9)
+
+
+def test_a_unit_of_many_letters():
+    model = piece_dropout.piece_model(piece_dropout.default_model())
+    text = "".join(random.Random(3).choices("abcdefgh中é", k=300_000))
+    for dropout in (0.0, 0.1):
+        ids, ends = piece_dropout.encode(model, pa.array([text, "", None]), np.arange(3), dropout, 1)
+        assert model.decode(ids.tolist()) == text and ends.tolist() == [len(ids)] * 3
+    assert piece_dropout.encode(model, pa.array([], pa.string()), np.arange(0), 0.1, 1)[1].tolist() == []
 
 
 def test_every_occurrence_has_draws_of_its_own():
@@ -451,7 +464,7 @@ def test_every_occurrence_has_draws_of_its_own():
             begin = e
     ids, ends = piece_dropout.encode(model, pa.array(["of"] * 3000), np.arange(3000), 0.1, 42)
     seen = Counter(tuple(x) for x in np.split(ids, ends[:-1]))
-    whole = tuple(model.merge([b" of"], np.array([0]), 0.0, 42)[0])
+    whole = tuple(brute_merge(model, b" of", 0, 0.0, 42))
     assert 0 < sum(n for x, n in seen.items() if x != whole) / 3000 < 0.5
     many, stops = piece_dropout.encode(model, pa.array(["international"] * 3000), np.arange(3000), 0.1, 42)
     assert len({tuple(x) for x in np.split(many, stops[:-1])}) > 4
