@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -14,9 +15,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
+#: Bytes of input for each partition of a shuffle, at most about.
+PARTITION_BYTES = 64 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])
 _SCRATCH: list[tuple[SparkSession, str, str]] = []
 _OWNER = [""]
@@ -40,10 +44,32 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(docs: DataFrame) -> int:
+    """Partitions of a shuffle of ``docs``: the session's setting, or more where Spark's estimate of their size asks for it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 56 else 0  # tables of unknown size have an estimate beyond any real one
+    return max(partitions(docs.sparkSession), known // PARTITION_BYTES)
+
+
+def repeats_ids(docs: DataFrame) -> bool:
+    """Whether rows of ``docs`` share a doc_id; reads that column alone."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until none of ``columns`` is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one where that is unset."""
+    """A new folder below spark.checkpoint.dir; a local one where that is unset and all tasks are local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         base = tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
@@ -89,7 +115,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``fn`` over Arrow batches cut to about SLICE_BYTES of the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

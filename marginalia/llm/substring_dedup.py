@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import over_batches, pack_ints, partitions, raw, texts, unpack_ints
+from .common import over_batches, pack_ints, partitions_for, raw, repeats_ids, unpack_ints
 from .words import Words, hashes, mix, split, windows
 
 #: A perfect difference cover: each residue modulo PERIOD but 0 is the difference of one pair.
@@ -31,12 +33,15 @@ BUCKETS = 4
 #: Bits of a hash that only choose its bucket; the others are kept.
 BUCKET_BITS = 24
 
+#: Answers that a task gathers before it hands them on.
+ANSWERED = 2_000_000
+
 #: A bucket's hashes to compare (``more``: further bits of each; ``many``: met more than once in its batch), or, with bucket -1, a batch's own answers.
-ROWS = "bucket int, hash binary, more binary, many binary, docs binary, places binary"
+ROWS = "bucket int, hash binary, more binary, many binary, docs binary, kinds binary, places binary"
 #: Answers by part of the documents, then by document.
-PARTS, ANSWERS = "part int, docs binary, places binary", "doc_id long, places binary"
+PARTS, ANSWERS = "part int, docs binary, kinds binary, places binary", "doc_id long, kind long, places binary"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
-_TYPES = [pa.int32(), *[pa.binary()] * 5]
+_TYPES = [pa.int32(), *[pa.binary()] * 6]
 
 
 def _planes(key: np.ndarray) -> np.ndarray:
@@ -51,17 +56,45 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(whole.T).view(np.uint64).ravel()
 
 
-def _by_doc(doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Places grouped by document, packed."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(doc)], strict=True):
-        if b > a:
-            yield int(doc[a]), pack_ints(place[a:b])
+class Places(NamedTuple):
+    """Places of words in documents; ``kind`` tells texts of one doc_id apart."""
+
+    doc: np.ndarray
+    kind: np.ndarray
+    place: np.ndarray
+
+    def take(self, at: np.ndarray) -> Places:
+        """The places at ``at``."""
+        return Places(self.doc[at], self.kind[at], self.place[at])
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Each column as bytes."""
+        return pack_ints(self.doc), pack_ints(self.kind), pack_ints(self.place)
+
+    def changes(self) -> np.ndarray:
+        """Whether a place is of another text than the one before."""
+        return np.flatnonzero((np.diff(self.doc) != 0) | (np.diff(self.kind) != 0)) + 1
+
+
+def _unpacked(row: dict) -> Places:
+    return Places(*(unpack_ints(row[x]) for x in ("docs", "kinds", "places")))
+
 
+def _joined(parts: list[Places]) -> Places:
+    return Places(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-def _to_buckets(key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int, answer_first: bool) -> Iterator[pa.RecordBatch]:
+
+def _sorted(key: np.ndarray, more: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by hash, then document and place, each place once; and whether one is the first of its hash."""
+    order = np.lexsort((at.place, at.kind, at.doc, more, key))
+    key, more, at = key[order], more[order], at.take(order)
+    first, new = np.ones(len(key), bool), np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    new[1:] = first[1:] | (at.doc[1:] != at.doc[:-1]) | (at.kind[1:] != at.kind[:-1]) | (at.place[1:] != at.place[:-1])
+    return order[new], first[new]
+
+
+def _to_buckets(key: np.ndarray, more: np.ndarray, at: Places, buckets: int, answer_first: bool) -> Iterator[pa.RecordBatch]:
     """A batch's hashes by bucket, each once with its first occurrence; answers for what repeats within.
 
     Of ``key`` the low BUCKET_BITS give the bucket and the others are compared, with ``more``.
@@ -71,119 +104,143 @@ def _to_buckets(key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.nd
         return
     low = key & np.uint64((1 << BUCKET_BITS) - 1)
     key = (key ^ low) | low % np.uint64(buckets)
-    order = np.lexsort((place, doc, more, key))
-    key, more, doc, place = key[order], more[order], doc[order], place[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    order, first = _sorted(key, more, at)
+    key, more, at = key[order], more[order], at.take(order)
     run = np.flatnonzero(first)
     many = np.diff(np.concatenate([run, [len(key)]])) > 1
     known = ~first
     if answer_first:
         known[run[many]] = True
-    rows = [(-1, None, None, None, pack_ints(doc[known]), pack_ints(place[known]))] if known.any() else []
-    key, more, doc, place = key[run], more[run], doc[run], place[run]
+    rows = [(-1, None, None, None, *at.take(known).packed())] if known.any() else []
+    key, more, at = key[run], more[run], at.take(run)
     bucket = (key & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
-    order = np.lexsort((place, doc, bucket))
-    key, more, doc, place, bucket, many = key[order], more[order], doc[order], place[order], bucket[order], many[order]
+    order = np.lexsort((at.place, at.kind, at.doc, bucket))
+    key, more, at, bucket, many = key[order], more[order], at.take(order), bucket[order], many[order]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if b > a:
-            rows.append((k, _planes(key[a:b])[BUCKET_BITS // 8 :].tobytes(), more[a:b].tobytes(), np.packbits(many[a:b]).tobytes(), pack_ints(doc[a:b]), pack_ints(place[a:b])))
-    for at in range(0, len(rows), 2000):
-        some = list(zip(*rows[at : at + 2000], strict=True))
+            rows.append((k, _planes(key[a:b])[BUCKET_BITS // 8 :].tobytes(), more[a:b].tobytes(), np.packbits(many[a:b]).tobytes(), *at.take(slice(a, b)).packed()))
+    for i in range(0, len(rows), 2000):
+        some = list(zip(*rows[i : i + 2000], strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, _TYPES, strict=True)], names=_NAMES)
 
 
 def _compare(rows: DataFrame, more_kind: type, first_stays: bool, n: int) -> DataFrame:
-    """(doc_id, places), one row a document: where hashes stand that also stand elsewhere.
+    """(doc_id, kind, places), one row a text: where hashes stand that also stand elsewhere.
 
-    ``first_stays``: not the first occurrence of all (by doc_id, then place); else every occurrence. A
-    task's answers go by parts of the documents, so that their rows don't multiply by tasks.
+    ``first_stays``: not the first occurrence of all (by doc_id, kind, place); else every occurrence. A
+    task holds one bucket at a time. Its answers go by parts of the documents, so that their rows don't
+    multiply by tasks.
     """
 
+    def repeats(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, Places]]) -> Places:
+        key, more, many = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+        at = _joined([p[3] for p in parts])
+        order, first = _sorted(key, more, at)
+        # Those met twice in their batch have had their answers.
+        known = ~first if first_stays else ~(first & np.append(first[1:], True)) & ~many[order]
+        return at.take(order[known])
+
+    def by_part(given: list[Places]) -> Iterator[pa.RecordBatch]:
+        at = _joined(given)
+        part = (mix(at.doc.view(np.uint64) ^ mix(at.kind.view(np.uint64))) % np.uint64(n)).astype(np.int32)
+        order = np.lexsort((at.place, at.kind, at.doc, part))
+        part, at = part[order], at.take(order)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        found = [(int(part[a]), *at.take(slice(a, b)).packed()) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=["part", "docs", "kinds", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        given: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, Places]] = []
+        given: list[Places] = []
+        waiting, bucket = 0, -1
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if waiting:
+                yield from by_part(given)
+            given.clear()
+            waiting = 0
+
         for batch in batches:
             for row in batch.to_pylist():
-                doc, place = unpack_ints(row["docs"]), unpack_ints(row["places"])
-                if row["bucket"] < 0:
-                    given.append((doc, place))
-                    continue
-                key = _from_planes(row["hash"]) | np.uint64(row["bucket"])
-                many = np.unpackbits(np.frombuffer(row["many"], np.uint8), count=len(key)).astype(bool)
-                parts.append((key, np.frombuffer(row["more"], more_kind), many, doc, place))
+                if row["bucket"] != bucket:
+                    if parts:
+                        given.append(repeats(parts))
+                        waiting += len(given[-1].doc)
+                        parts.clear()
+                    bucket = row["bucket"]
+                if bucket < 0:
+                    given.append(_unpacked(row))
+                    waiting += len(given[-1].doc)
+                else:
+                    key = _from_planes(row["hash"]) | np.uint64(bucket)
+                    many = np.unpackbits(np.frombuffer(row["many"], np.uint8), count=len(key)).astype(bool)
+                    parts.append((key, np.frombuffer(row["more"], more_kind), many, _unpacked(row)))
+                if waiting > ANSWERED:
+                    yield from flush()
         if parts:
-            key, more, many, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            order = np.lexsort((place, doc, more, key))
-            key, more, many, doc, place = key[order], more[order], many[order], doc[order], place[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
-            # Those met twice in their batch have had their answers.
-            known = ~first if first_stays else ~(first & np.append(first[1:], True)) & ~many
-            given.append((doc[known], place[known]))
-        if sum(len(g[0]) for g in given):
-            doc, place = (np.concatenate(x) for x in zip(*given, strict=True))
-            part = (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int32)
-            order = np.lexsort((place, doc, part))
-            part, doc, place = part[order], doc[order], place[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            found = [(int(part[a]), pack_ints(doc[a:b]), pack_ints(place[a:b])) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "docs", "places"])
+            given.append(repeats(parts))
+            waiting += len(given[-1].doc)
+        yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(unpack_ints(d), unpack_ints(p)) for batch in batches for d, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        if parts:
-            found = list(_by_doc(*(np.concatenate(x) for x in zip(*parts, strict=True))))
-            for at in range(0, len(found), 5000):
-                d, p = zip(*found[at : at + 5000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "places"])
+        parts = [_unpacked(row) for batch in batches for row in batch.to_pylist()]
+        if not parts:
+            return
+        at = _joined(parts)
+        at = at.take(np.lexsort((at.place, at.kind, at.doc)))
+        cuts = [0, *at.changes().tolist(), len(at.doc)]
+        for i in range(0, len(cuts) - 1, 5000):
+            some = cuts[i : i + 5001]
+            blobs = [pack_ints(at.place[a:b]) for a, b in zip(some[:-1], some[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.doc[some[:-1]]), pa.array(at.kind[some[:-1]]), pa.array(blobs, pa.binary())], names=["doc_id", "kind", "places"])
 
     spread = F.when(F.col("bucket") < 0, F.hash("docs")).otherwise(F.col("bucket"))
-    answers = rows.repartition(n, spread).mapInArrow(run, PARTS)
+    answers = rows.repartition(n, spread).sortWithinPartitions("bucket").mapInArrow(run, PARTS)
     return answers.repartition(n, "part").mapInArrow(gather, ANSWERS).hint("shuffle_hash")
 
 
-def _cover_positions(words: Words, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, texts and places of all anchors of ``size`` words in texts of at least ``least`` words."""
+def _cover_positions(words: Words, size: int, least: int) -> np.ndarray:
+    """Word numbers of all anchors of ``size`` words in texts of at least ``least`` words."""
     n = np.diff(words.first)
     place = np.arange(len(words.start)) - words.first[words.doc]
     take = np.isin(place % PERIOD, COVER) & (place + size <= n[words.doc]) & (n[words.doc] >= least)
-    at = np.flatnonzero(take)
-    return at, words.doc[at], place[at]
+    return np.flatnonzero(take)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every document with the places of its words that repeat earlier ones.
-
-    Takes doc_id (unique; rows without one are left out) and text; a null text has no words, and documents of fewer than
-    ``window`` words (at least PERIOD + 1) keep all. Returns doc_id, text and ``places``: packed starts of
-    windows whose words also start earlier, in a smaller doc_id or in the same document before. Ties
-    don't occur, as (doc_id, place) is unique. Hashes have 40 bits besides those of the bucket for anchors,
-    whose false matches extend to nothing, and 72 for windows.
-    """
+def _told(docs: DataFrame, window: int, rest: Column | None = None) -> DataFrame:
+    """doc_id, text, places, and ``rest``, of every row of ``docs``."""
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
-    size, n = window - PERIOD + 1, partitions(docs.sparkSession)
+    size, n = window - PERIOD + 1, partitions_for(docs)
     buckets = n * BUCKETS
-    whole = texts(docs).where("doc_id is not null")  # said once, so that both joins below share one exchange
+    # Texts of one doc_id are told apart by a hash, if there are any; rows without a doc_id are dealt by one.
+    apart = F.xxhash64(F.coalesce("text", F.lit("")))
+    kind = apart if repeats_ids(docs) else F.when(F.col("doc_id").isNull(), apart).otherwise(F.lit(0).cast("long"))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"), *([rest.alias("rest")] if rest is not None else []))
+    named = whole.where("doc_id is not null").select("doc_id", "text", "kind")
+
+    def hashed(batch: pa.RecordBatch, at: np.ndarray, words: Words) -> Places:
+        doc = words.doc[at]
+        ids, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        return Places(ids[doc], kinds[doc], at - words.first[doc])
 
     def anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         body, offsets = raw(batch.column(1))
         words = split(body, offsets)
-        at, doc, place = _cover_positions(words, size, window)
+        at = _cover_positions(words, size, window)
         if len(at):
             key = windows(hashes(body, words), size)[at]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield from _to_buckets(key, np.zeros(len(at), np.uint8), ids[doc], place, buckets, True)
+            yield from _to_buckets(key, np.zeros(len(at), np.uint8), hashed(batch, at, words), buckets, True)
 
     def around(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         body, offsets = raw(batch.column(1))
         words = split(body, offsets)
         count = np.diff(words.first)
         change = np.zeros(len(words.start) + 2, np.int32)
-        for i, blob in enumerate(batch.column(2).to_pylist()):
+        for i, blob in enumerate(batch.column(3).to_pylist()):
             if blob:
                 p = unpack_ints(blob)
                 np.add.at(change, words.first[i] + np.maximum(p - (PERIOD - 1), 0), 1)
@@ -191,22 +248,46 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         at = np.flatnonzero(np.cumsum(change)[: len(words.start)] > 0)
         if len(at):
             one, two = (windows(hashes(body, words, seed=s), window, seed=s)[at] for s in (1, 2))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc = words.doc[at]
-            yield from _to_buckets(one, (mix(two) >> np.uint64(32)).astype(np.uint32), ids[doc], at - words.first[doc], buckets, False)
+            yield from _to_buckets(one, (mix(two) >> np.uint64(32)).astype(np.uint32), hashed(batch, at, words), buckets, False)
 
-    dealt = whole.repartition(n, "doc_id")
-    shared = _compare(over_batches(whole, anchors, ROWS), np.uint8, False, n)
-    candidates = dealt.join(shared, "doc_id").select("doc_id", "text", "places")
+    dealt = whole.repartition(n, "doc_id", "kind")
+    shared = _compare(over_batches(named, anchors, ROWS), np.uint8, False, n)
+    candidates = dealt.join(shared, ["doc_id", "kind"]).select("doc_id", "text", "kind", "places")
     twice = _compare(over_batches(candidates, around, ROWS), np.uint32, True, n)
-    return dealt.join(twice, "doc_id", "left").select("doc_id", "text", "places")
+    return dealt.join(twice, ["doc_id", "kind"], "left").select("doc_id", "text", "places", *(["rest"] if rest is not None else []))
+
+
+def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Every row with the places of its words that repeat earlier ones.
+
+    Takes doc_id and text; other columns are ignored. A null text has no words, and documents of fewer
+    than ``window`` words (at least PERIOD + 1) keep all. Returns doc_id, text and ``places``: packed
+    starts of windows whose words also start earlier, in a smaller doc_id or in the same document before.
+    Rows that repeat doc_id and text are one document, and each gets its places; texts that share a doc_id
+    are documents of their own, in the order of a hash. Rows without doc_id keep all their words, and
+    nobody else's repeat them. Hashes have 40 bits besides those of the bucket for anchors, whose false
+    matches extend to nothing, and 72 for windows. A task holds a bucket of hashes; there are BUCKETS
+    for each partition, and partitions follow the input's size.
+    """
+    return _told(docs, window)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
+def _left(words: list[bytes], blob: bytes | None, window: int) -> list[bytes]:
+    """``words`` without those that the windows at the packed places cover."""
+    if not blob:
+        return words
+    p = unpack_ints(blob)
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, p, 1)
+    np.add.at(change, p + window, -1)
+    return [w for w, c in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if c == 0]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """What ``repeated`` leaves of every document: counts, and the SHA-256 of the kept words joined by a space.
+    """What ``repeated`` leaves of every row: counts, and the SHA-256 of the kept words joined by a space.
 
     ``kept_text`` is that, or the text as it was where nothing is removed; null if ``with_text`` is false.
     """
@@ -216,13 +297,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
         for text, blob in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = text.split()
             n.append(len(words))
-            if blob:
-                p = unpack_ints(blob)
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, p, 1)
-                np.add.at(change, p + window, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            words = _left(words, blob, window)
             removed.append(n[-1] - len(words))
             left = b" ".join(words)
             sha.append(hashlib.sha256(left).hexdigest())
@@ -234,8 +309,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated passages removed from their texts (n_chars follows); all rows and columns stay."""
-    told = remove_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("doc_id_"), F.col("kept_text").alias("kept_text_"))
-    joined = docs.join(told, F.col("doc_id") == F.col("doc_id_"), "left")
-    new = {"text": F.coalesce("kept_text_", "text"), "n_chars": F.when(F.col("kept_text_").isNotNull(), F.length("kept_text_").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return joined.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """``docs`` with repeated passages removed from their texts (n_chars follows); all rows and columns stay.
+
+    A row's other columns go with it, whatever their names; see ``repeated`` for odd rows.
+    """
+    told = _told(docs, window, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for text, blob in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            kept.append(b" ".join(_left(text.split(), blob, window)).decode("utf-8") if blob else None)
+        yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(kept, pa.string())], names=["rest", "kept"])
+
+    schema = StructType([told.schema["rest"], StructField("kept", StringType())])
+    rows, changed = over_batches(told, run, schema), F.col("kept").isNotNull()
+    new = {"text": F.coalesce("kept", F.col("rest.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select([new[c].alias(c) if c in new else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
