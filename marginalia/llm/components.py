@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, partitions
+
+
+def with_least(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """``rows`` with ``m``, the least ``value`` of their ``key``. A key's rows stay dealt over ``n`` parts: each part gets the least once."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(value), F.lit(n)))
+    parts = dealt.groupBy(key, "part").agg(F.min(value).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"))
+    return dealt.join(parts.select(key, "part").join(least, key), [key, "part"]).drop("part")
 
 
 def _is_stars(links: DataFrame) -> bool:
@@ -18,16 +26,16 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every vertex of ``links`` (a, b): component is the least id it reaches.
 
     Each round moves links to the least neighbour, first for larger neighbours, then for smaller ones.
-    Least neighbours are partial sums by vertex, and a hub's links are joined by a join that splits
-    skewed keys. Loops and repeated links are allowed; no links give no rows.
+    Least neighbours are partial sums by vertex and part, and a hub's links meet its least neighbour part
+    by part. Loops and repeated links are allowed; no links give no rows.
     """
+    n = partitions(links.sparkSession)
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct())
     while not _is_stars(now):
         both = now.select(F.col("big").alias("u"), F.col("small").alias("v")).union(now.select(F.col("small").alias("u"), F.col("big").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("big"), F.col("m").alias("small"))
-        root = large.groupBy("big").agg(F.min("small").alias("m"))
-        moved = large.join(root, "big").where("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small"))
-        now = materialize(moved.union(root).distinct())
+        large = with_least(both, "u", "v", n).where("v > u").select(F.col("v").alias("big"), F.least("u", "m").alias("small"))
+        rooted = with_least(large, "big", "small", n)
+        moved = rooted.select(F.when(F.col("small") == F.col("m"), F.col("big")).otherwise(F.col("small")).alias("big"), F.col("m").alias("small"))
+        now = materialize(moved.distinct())
     roots = now.select(F.col("small").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("big").alias("id"), F.col("small").alias("component")).union(roots)

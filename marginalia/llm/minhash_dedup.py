@@ -6,7 +6,8 @@ that no coordinate stays empty. Documents that agree in all coordinates of a ban
 
 Identical sets become one class first. Candidates with a plausible estimate form clusters; a cluster's
 texts meet in tasks of bounded size, where links are confirmed on full sets. What a large cluster's tasks
-can't link through its hubs is compared with all its tasks, block by block.
+can't link through its hubs is compared with all of the cluster, block by block: sketches first, then the
+texts of those that have a plausible partner in the other block.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize, over_batches, partitions, raw, texts
+from .common import SLICE_BYTES, materialize, over_batches, partitions_for, raw, repeats_ids, texts
 from .components import components
 from .words import hashes, mix, split, windows
 
@@ -27,10 +29,10 @@ BINS, BAND = 128, 4
 SLACK = 5.2
 #: Members of a bucket that are compared with each other; of a larger one, all join its first member.
 BUCKET = 512
-#: Members of a cluster in one task, and hubs that every task of a larger cluster gets.
+#: Members of a cluster in one task, about, and hubs that every task of a larger cluster gets.
 TASK, HUBS = 128, 8
-#: Parts into which the copies of a set are dealt.
-SALTS = 16
+#: Members of a cluster in one block of what is compared after that, about.
+BLOCK = 256
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
@@ -204,16 +206,29 @@ class _Forest:
         return i != j
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], k: int, threshold: int, floor: int) -> Iterator[pa.RecordBatch]:
+def _groups(table: pa.Table) -> Iterator[pa.Table]:
+    """Whole groups (of the first two columns) of ``table``, each time about SLICE_BYTES of the column text, one group at least."""
+    keys = [table.column(i).to_numpy() for i in (0, 1)]
+    cuts = np.flatnonzero(np.concatenate([[True], (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]), [True]]))
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("text")).to_numpy())])
+    at = 0
+    while at < len(cuts) - 1:
+        end = max(at + 1, int(np.searchsorted(size[cuts], size[cuts[at]] + SLICE_BYTES, side="right")) - 1)
+        yield table.slice(int(cuts[at]), int(cuts[end] - cuts[at]))
+        at = end
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], k: int, threshold: int, floor: int, blocks: bool) -> Iterator[pa.RecordBatch]:
     """(a, b): confirmed links that join the components of a task's documents.
 
     Columns: cluster, chunk, guest, label, doc_id, sketch, text; sorted by the first three. Members (guest
-    0) of a task are compared with each other where their labels differ; each guest with all members.
+    0) of a chunk are compared with each other where their labels differ; each guest with all members.
+    ``blocks``: chunks are pairs of blocks; members are compared with each other only where both are the same.
     """
-    for table in _runs(batches, 2):
+    for table in (part for run in _runs(batches, 2) for part in _groups(run)):
         keys = np.stack([table.column(0).to_numpy(), table.column(1).to_numpy()])
         cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
-        value, first = shingles(table.column(6).combine_chunks() if table.column(6).num_chunks != 1 else table.column(6).chunk(0), k)
+        value, first = shingles(table.column("text").combine_chunks(), k)
         sets = [value[p:q] for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         guest, label, ids = (table.column(i).to_numpy() for i in (2, 3, 4))
         s = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(ids), BINS)
@@ -224,7 +239,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, threshold: int, floor: i
             seen: dict[int, int] = {}
             for i in range(d - c):  # what earlier rounds have linked
                 forest.join(seen.setdefault(int(label[c + i]), i), i)
-            for i in range(1, d - c):
+            chunk = int(keys[1, c])
+            for i in range(members if blocks and chunk >> 31 != chunk & 0x7FFFFFFF else 1, d - c):
                 until = min(i, members)
                 same = (s[c : c + until] == s[c + i]).sum(1)
                 for j in np.argsort(-same, kind="stable")[: int((same >= floor).sum())].tolist():
@@ -235,23 +251,67 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, threshold: int, floor: i
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """Every document with the component of its near duplicates.
+PACKED = "cluster long, block int, blocks int, has_apart boolean, ids binary, labels binary, sketches binary, apart binary"
+NEEDED = "cluster long, chunk long, doc_id long, guest int"
 
-    Takes doc_id (unique; rows without one are left out) and text. A document's set holds its distinct shingles of ``k`` words,
-    A-Z lower-cased; with fewer words, the whole sequence; without any (null or empty text), none, and it
-    is linked with nothing. Documents are linked where 100 * intersection >= threshold * union. Returns
-    doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (doc_id is that).
-    Identical sets are one class by a 128-bit hash. A link is missed where no band of 4 coordinates
-    agrees, or an estimate is SLACK deviations low: each about 1e-7 at the threshold. There is no cap on
-    partners: what the tasks of a large cluster leave apart is compared with all of that cluster.
-    """
-    spark = docs.sparkSession
-    n, floor = partitions(spark), _floor(threshold)
-    docs = docs.where("doc_id is not null")
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block. Columns: cluster, block, blocks, doc_id, label, sketch, apart; sorted by the first two."""
+    for table in _runs(batches, 2):
+        cluster, block, blocks, ids, label = (table.column(i).to_numpy() for i in range(5))
+        sketch, apart = table.column(5).to_pylist(), table.column(6).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (block[1:] != block[:-1]), [True]])).tolist()
+        rows = [
+            (int(cluster[a]), int(block[a]), int(blocks[a]), bool(apart[a:b].any()), ids[a:b].tobytes(), label[a:b].tobytes(), b"".join(sketch[a:b]), apart[a:b].tobytes())
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+        ]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
+
+
+def _block(row: dict, mark: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, labels = (np.frombuffer(row[mark + x], np.int64) for x in ("ids", "labels"))
+    return ids, labels, np.frombuffer(row[mark + "sketches"], np.uint8).reshape(len(ids), BINS), np.frombuffer(row[mark + "apart"], bool)
+
+
+def _needed(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks, the documents with a plausible partner of another label: guests (those apart of the
+    first block), and members of the second one. A pair of documents that are both apart is met in one order of the blocks."""
+    for batch in batches:
+        rows: list[tuple[np.ndarray, ...]] = []
+        for row in batch.to_pylist():
+            ids, labels, sketch, apart = _block(row, "g_")
+            ids, labels, sketch = ids[apart], labels[apart], sketch[apart]
+            others, other_labels, other_sketch, other_apart = _block(row, "")
+            own, block = row["g_block"], row["block"]
+            if own < block:
+                others, other_labels, other_sketch = others[~other_apart], other_labels[~other_apart], other_sketch[~other_apart]
+            met, wanted = np.zeros(len(others), bool), np.zeros(len(ids), bool)
+            for i in range(len(ids)):
+                near = ((other_sketch == sketch[i]).sum(1) >= floor) & (other_labels != labels[i])
+                wanted[i] = near.any()
+                met |= near
+            members, guests = others[met], ids[wanted]
+            if own == block:
+                members, guests = np.unique(np.concatenate([members, guests])), guests[:0]
+            n = len(members) + len(guests)
+            rows.append((np.full(n, row["cluster"]), np.full(n, (block << 31) + own), np.concatenate([members, guests]), np.repeat([0, 1], [len(members), len(guests)])))
+        if rows:
+            cluster, chunk, ids, guest = (np.concatenate(x) for x in zip(*rows, strict=True))
+            cols = [pa.array(cluster, pa.int64()), pa.array(chunk, pa.int64()), pa.array(ids, pa.int64()), pa.array(guest, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in NEEDED.split(", ")])
+
+
+def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``docs``, whose doc_ids are unique and not null."""
+    n, floor = partitions_for(docs), _floor(threshold)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("part")
     rows = materialize(sketch(docs, k))
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Copies of a set are counted, and find their class, by parts, so that a large class isn't one task's.
+    alike = ["set_a", "set_b", "n_shingles"]
+    counted = some.groupBy(*alike, part).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = counted.groupBy(*alike).agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"))
     reps = classes.select(F.col("rep").alias("doc_id")).join(some, "doc_id").select("doc_id", "bands", "sketch")
 
     member = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -265,49 +325,92 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     size = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / TASK).cast("int")
     placed = materialize(
-        cluster.join(size, "cluster").select(F.col("id").alias("doc_id"), "cluster", "members", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("chunk"))
+        cluster.join(size, "cluster").select(F.col("id").alias("doc_id"), "cluster", "members", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("long").alias("chunk"))
     )
     whole = texts(docs).repartition(n, "doc_id").join(placed.hint("shuffle_hash"), "doc_id").join(some.select("doc_id", "sketch").hint("shuffle_hash"), "doc_id")
-    whole = materialize(whole.select("cluster", "chunk", "parts", "doc_id", "sketch", "text"))
-
-    def confirm(members: DataFrame, guests: DataFrame | None) -> DataFrame:
-        columns = ["cluster", "chunk", "guest", "label", "doc_id", "sketch", "text"]
-        together = members.withColumn("guest", F.lit(0)).select(columns)
-        if guests is not None:
-            together = together.union(guests.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("chunk <> own").withColumn("guest", F.lit(1)).select(columns))
-        dealt = together.repartition(n, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "guest", "doc_id")
-        return dealt.mapInArrow(lambda it: _confirm(it, k, threshold, floor), "a long, b long")
-
-    hubs = None
-    first = whole.withColumn("label", F.col("doc_id"))
+    whole = materialize(whole.select("cluster", "chunk", "members", "parts", "doc_id", "sketch", "text"))
+    columns = ["cluster", "chunk", "guest", "label", "doc_id", "sketch", "text"]
+
+    def confirm(rows: DataFrame, blocks: bool) -> DataFrame:
+        dealt = rows.select(columns).repartition(n, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "guest", "doc_id")
+        return dealt.mapInArrow(lambda it: _confirm(it, k, threshold, floor, blocks), "a long, b long")
+
+    meet = whole.withColumn("guest", F.lit(0)).withColumn("label", F.col("doc_id"))
     large = placed.where("parts > 1")
     split_any = not large.isEmpty()
     if split_any:
         degree = large.select("doc_id", "cluster").join(shared.select("doc_id", "n"), "doc_id").groupBy("cluster", "doc_id").agg(F.sum("n").alias("degree"))
         order = Window.partitionBy("cluster").orderBy(F.desc("degree"), "doc_id")
         top = degree.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("doc_id")
-        hubs = materialize(whole.where("parts > 1").join(top, "doc_id").withColumn("own", F.col("chunk")).withColumn("label", F.col("doc_id")))
-    links = materialize(confirm(first, hubs))
+        hubs = materialize(whole.where("parts > 1").join(top, "doc_id").withColumnRenamed("chunk", "own"))
+        hubs = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).where("chunk <> own").withColumn("guest", F.lit(1)).withColumn("label", F.col("doc_id"))
+        meet = meet.select(columns).union(hubs.select(columns))
+    links = materialize(confirm(meet, False))
     found = components(links)
     if split_any:
         labelled = whole.where("parts > 1").join(found.select(F.col("id").alias("doc_id"), F.col("component")), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-        labelled = materialize(labelled.select("cluster", "chunk", "parts", "doc_id", "sketch", "text", "label"))
+        labelled = materialize(labelled.select("cluster", "members", "doc_id", "sketch", "text", "label"))
         most = labelled.groupBy("cluster", "label").agg(F.count("*").alias("held")).groupBy("cluster").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("main"))
-        apart = labelled.join(most, "cluster").where("label <> main").withColumn("own", F.col("chunk"))
-        more = confirm(labelled, apart.select("cluster", "own", "parts", "doc_id", "sketch", "text", "label"))
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        grouped = labelled.join(most, "cluster").select("cluster", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "doc_id", "label", "sketch", (F.col("label") != F.col("main")).alias("apart"))
+        packed = materialize(grouped.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_pack, PACKED))
+        own = packed.where("has_apart").select("cluster", F.col("block").alias("g_block"), *(F.col(x).alias("g_" + x) for x in ("ids", "labels", "sketches", "apart")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        pairs = own.join(packed.drop("blocks", "has_apart"), ["cluster", "block"])
+        needed = materialize(pairs.mapInArrow(lambda it: _needed(it, floor), NEEDED))
+        more = confirm(needed.join(labelled.select("doc_id", "label", "sketch", "text"), "doc_id"), True)
         found = components(links.union(more))
 
-    # Copies find their class by salted keys, so that a large class isn't one task's.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    again = classes.where("copies > 1").select("set_a", "set_b", "n_shingles", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    of = some.select("doc_id", "n_shingles", "set_a", "set_b", salt.alias("salt")).join(again, ["set_a", "set_b", "n_shingles", "salt"], "left")
-    of = of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    again = counted.drop("rep", "copies").join(classes.where("copies > 1").drop("copies"), alike)
+    of = some.select("doc_id", *alike, part).join(again, [*alike, "part"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     named = of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.union(empty).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return named.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _judged(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, stays) of rows with a doc_id; ``row`` is what tells them apart, ``stays`` true for one of a component."""
+    docs = docs.where("doc_id is not null")
+    if not repeats_ids(docs):
+        return _components(docs, k, threshold).select(F.col("doc_id").alias("row"), "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("stays"))
+    keyed = docs.select(row_of(), "doc_id", "text")
+    found = _components(keyed.dropDuplicates(["row"]).select(F.col("row").alias("doc_id"), "text"), k, threshold).withColumnRenamed("doc_id", "row")
+    named = keyed.select("row", "doc_id").join(found, "row")
+    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    return named.join(least, "component_id").select("row", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("stays"))
+
+
+def row_of() -> Column:
+    """A hash that tells rows of different doc_id or text apart."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """Every row with the component of its near duplicates.
+
+    Takes doc_id and text; other columns are ignored. A document's set holds its distinct shingles of ``k`` words,
+    A-Z lower-cased; with fewer words, the whole sequence; without any (null or empty text), none, and it
+    is linked with nothing. Documents are linked where 100 * intersection >= threshold * union. Returns
+    doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (doc_id is that).
+    Rows that share a doc_id are documents of their own, linked by their texts like any others; a row
+    without doc_id is linked with nothing and kept, its component_id null. An empty table gives no rows.
+    Identical sets are one class by a 128-bit hash. A link is missed where no band of 4 coordinates
+    agrees, or an estimate is SLACK deviations low: each about 1e-7 at the threshold. There is no cap on
+    partners: what the tasks of a large cluster leave apart is compared with all of that cluster, in
+    blocks of about BLOCK, of which a task holds two at a time.
+    """
+    alone = sketch(docs.where("doc_id is null"), k).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    found = _judged(docs, k, threshold).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.union(alone)
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the least doc_id; all columns stay, and rows without doc_id."""
-    gone = near_duplicates(docs, k, threshold).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: that with the least doc_id (of several, that with the least hash of its text); all columns stay, and rows without doc_id.
+
+    Of rows that repeat doc_id and text, the one whose columns come first as JSON stays.
+    """
+    told = _judged(docs, k, threshold)
+    if not repeats_ids(docs):
+        return docs.join(told.where("not stays").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where("doc_id is not null").select(row_of(), F.struct(*columns).alias("whole"))
+    one = rows.join(told.where("stays").select("row"), "row", "left_semi").groupBy("row").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+    return one.select([F.col(f"whole.`{c}`").alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))

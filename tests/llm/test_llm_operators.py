@@ -382,6 +382,21 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_substrings_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "ANSWERED", 5)
+    rng = random.Random(71)
+    a, b = prose(rng, 60, 10**6), prose(rng, 30, 10**6)
+    rows = [(3, a), (3, a), (3, b + " " + a), (8, b), (1, "x y"), (None, a), (None, a), (None, None), (2, None)]
+    columns = "doc_id long, text string, doc_id_ long, kept_text_ string, kept string, rest string, kind int, places string"
+    df = spark.createDataFrame([(i, t, 1, "k", "q", "r", 2, "p") for i, t in rows], columns)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df.repartition(3)).collect())
+    first = [("3", 60, 0)] * 2 + [("3", 90, 60)], [("3", 60, 60)] * 2 + [("3", 90, 0)]  # by the order of hashes
+    rest = [("8", 30, 30), ("1", 2, 0), ("None", 60, 0), ("None", 60, 0), ("None", 0, 0), ("2", 0, 0)]
+    assert got in [sorted([*x, *rest]) for x in first]
+    left = substring_dedup.without_repeats(df)
+    assert left.columns == df.columns and left.count() == 9 and {(r.doc_id_, r.kept_text_, r.kept, r.rest, r.kind) for r in left.collect()} == {(1, "k", "q", "r", 2)}
+
+
 # ---- 8 ----
 
 
@@ -520,6 +535,7 @@ def family():
 def test_near_duplicates(spark, family, monkeypatch, k, task, bucket):
     monkeypatch.setattr(minhash_dedup, "TASK", task)
     monkeypatch.setattr(minhash_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", task * 2)
     df = table(spark, [t for _, t in family])
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df, k).collect()}
     assert got == brute_near(family, k)
@@ -532,6 +548,29 @@ def test_near_duplicate_edges(spark):
     assert sorted(r.doc_id for r in left.collect()) == [0, 1] and left.columns == table(spark, []).columns
 
 
+def test_near_duplicates_of_pages_from_a_template(spark, monkeypatch):
+    for name, value in (("TASK", 8), ("BUCKET", 6), ("BLOCK", 16)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rng = random.Random(19)
+    template = prose(rng, 75, 10**6)
+    texts = [f"{template} {prose(rng, 25, 10**6)}" for _ in range(150)]  # about 0.6 alike: one cluster, no links
+    texts += [texts[k] + " tail" for k in range(0, 150, 10)] + [texts[k] for k in range(5)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(table(spark, texts), 2).collect()}
+    assert got == brute_near(rows, 2)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (7, a + " x"), (2, b + " y"), (2, c), (9, c), (None, a), (None, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "p") for i, t in rows], SCHEMA)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    want = [("5", 76, "5", True)] * 2 + [("5", 76, "2", False), ("7", 77, "5", False), ("2", 77, "2", True), ("2", 76, "2", True), ("9", 76, "2", False)]
+    assert got == sorted([*want, ("None", 76, "None", True), ("None", 0, "None", True), ("4", 0, "4", True)])
+    left = sorted((str(r.doc_id), str(r.text)) for r in minhash_dedup.without_near_duplicates(df).collect())
+    assert left == sorted([("5", a), ("2", b + " y"), ("2", c), ("None", a), ("None", "None"), ("4", "")])
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 2**63, 800, dtype=np.uint64)
@@ -595,8 +634,8 @@ def test_rows_without_doc_id(spark):
     assert telephony.telephony(df).count() == 4 and sos_packing.sos_pack(df).count() == 4 and license_scan.license_scan(df).count() == 4
     assert sorted(str(d) for r in bfd_packing.bfd_pack(df).collect() for d in r.doc_ids) == ["0", "1", "2", "None"]
     assert line_quality.line_quality(df).count() == 4 and secret_scan.secrets(df).count() == 4 and piece_dropout.piece_dropout(df).count() == 4
-    assert substring_dedup.remove_repeats(df).count() == 3 and substring_dedup.without_repeats(df).count() == 4
-    assert minhash_dedup.near_duplicates(df).count() == 3 and minhash_dedup.without_near_duplicates(df).count() == 4
+    assert substring_dedup.remove_repeats(df).count() == 4 and substring_dedup.without_repeats(df).count() == 4
+    assert minhash_dedup.near_duplicates(df).count() == 4 and minhash_dedup.without_near_duplicates(df).count() == 4
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert byte_cnn.classify(df, labels).count() == 4
 
