@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 #: ASCII white space, which parts words.
 BLANKS = " \t\n\x0b\f\r"
@@ -67,9 +67,9 @@ def measures(docs: DataFrame, host: Column) -> DataFrame:
     """One row a document: base counts, and the hash and words of each line that has a word."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text"))
-    rows = rows.select("doc_id", "host", "text", words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"))
+    rows = rows.select("doc_id", "host", "text", F.xxhash64("text").alias("said"), words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"))
     return rows.select(
-        "doc_id", "host", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "host", "said", F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -100,8 +100,13 @@ def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MA
     A document of fewer than LEAST_WORDS words, or with more than MAX_REPEATED percent in repeated
     windows, fails; so does one of which less than ``least_left`` percent of the words would stay. Rows
     that repeat a doc_id are judged each by their own text, with the lines found for any of them; those
-    without a doc_id keep all lines.
+    without a doc_id keep all lines. An empty table gives no rows.
     """
+    return _judged(docs, host, max_docs, least_left).drop("said")
+
+
+def _judged(docs: DataFrame, host: Column | None = None, max_docs: int = MAX_DOCS, least_left: int = LEAST_LEFT) -> DataFrame:
+    """``line_quality`` with a hash of each row's text in ``said``."""
     rows = materialize(measures(docs, F.col("source") if host is None else host))
     bad = boilerplate(rows, max_docs)
     hit = rows.select("doc_id", "host", F.explode(F.array_distinct("line")).alias("line")).join(bad, ["host", "line"])
@@ -111,22 +116,24 @@ def line_quality(docs: DataFrame, host: Column | None = None, max_docs: int = MA
     failed = fails(F.col("n_words"), F.col("n_repeat_words"))
     out = rows.join(hit, "doc_id", "left").withColumn("n_removed_words", removed).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_removed_words")) >= least_left * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words", "bad_lines")
+    return out.select("doc_id", "said", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words", "bad_lines")
 
 
 def without_boilerplate(docs: DataFrame, **limits: int) -> DataFrame:
-    """``docs`` (unique doc_id) without rejected documents and, in those that stay, without boilerplate lines; all columns stay.
+    """``docs`` without rejected documents and, in those that stay, without boilerplate lines; all rows of these and all columns stay.
 
-    Rows without a doc_id keep all lines, and stay unless they fail by their own words.
+    A row finds its verdict by doc_id and text, so that rows which repeat a doc_id, or have none, are
+    judged as ``line_quality`` says; columns may have any names.
     """
-    told = line_quality(docs, **limits).where("kept").select(F.col("doc_id").alias("doc_id_"), F.col("bad_lines").alias("bad_"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("bad_", F.xxhash64(normalised(x)))), "\n")
-    text = F.when(F.col("bad_").isNull(), F.col("text")).otherwise(left)
-    joined = docs.join(told, F.col("doc_id") == F.col("doc_id_"))
-    size = F.when(F.col("bad_").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
-    named = joined.select([text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-    verdict = let(words(F.coalesce("text", F.lit(""))), lambda w: fails(F.size(w), repeated_words(w)))
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).where(~verdict))
+    of, said, bad = (free(x, docs.columns) for x in ("of_", "said_", "bad_"))
+    told = _judged(docs, **limits).where("kept").select(F.col("doc_id").alias(of), F.col("said").alias(said), F.col("bad_lines").alias(bad)).dropDuplicates([of, said])
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(bad, F.xxhash64(normalised(x)))), "\n")
+    changed = F.col(bad).isNotNull()
+    new = {"text": F.when(changed, left).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(new["text"]).cast("long")).otherwise(F.col("n_chars"))
+    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(said)))
+    return joined.select([new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
@@ -140,8 +147,8 @@ l0 AS (SELECT doc_id, host, unnest(list_filter(string_split(text, chr(10)), lamb
        generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), 1) AS pos FROM d),
 l AS (SELECT doc_id, host, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS line_words,
       translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM l0),
-near AS (SELECT host, norm, doc_id, coalesce(lag(norm) OVER p, '') || chr(10) || coalesce(lead(norm) OVER p, '') AS around FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
-bad AS (SELECT host, norm FROM near GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT around) > 10),
+held AS (SELECT DISTINCT host, lines FROM (SELECT host, doc_id, list_sort(list(DISTINCT norm)) AS lines FROM l GROUP BY host, doc_id)),
+bad AS (SELECT host, norm FROM (SELECT host, unnest(lines) AS norm FROM held) GROUP BY host, norm HAVING count(*) > 20),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
 gone AS (SELECT doc_id, sum(line_words) AS n FROM l JOIN bad USING (host, norm) GROUP BY doc_id),
 base AS (
