@@ -1,8 +1,8 @@
 """Operator 6: secrets in texts, told apart by who owns their copies across the corpus.
 
 Every candidate's value is hashed; a hash is aggregated by distinct repositories and owners. A value
-that several owners hold is a copied example; one that a single owner holds, with the look of a random
-string, is live.
+that many owners hold, or many repositories of more than one, is a copied example; what is left and looks
+like a random string is live.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, over_batches, texts
+from .common import free, materialize, over_batches, texts
 
 KINDS = ("assign", "access", "hex")
 #: Kinds beyond the base ones, in the order in which equal starts are listed.
@@ -29,8 +29,10 @@ _URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:([^\s:/@]{4,}+)@")
 # Header lines (also where line feeds have become spaces) go before the base64.
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?!-----END)\s*+(?:[A-Za-z][A-Za-z0-9-]*+:(?:(?:(?!-----)[^\n])*+\n|\x20*+\S++)\s*+)*+[A-Za-z0-9+/=\s]*+-----END")
 
-#: Owners of a value from which it is an example; bits a character that a live-looking value has at least.
-COPIED_OWNERS, LIVE_BITS, LIVE_LENGTH = 3, 2.5, 12
+#: Owners of a value from which it is an example; repositories, where there are two owners at least.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 8
+#: Bits a character and characters that a live-looking value has at least.
+LIVE_BITS, LIVE_LENGTH = 2.5, 12
 
 SCAN = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
@@ -81,13 +83,8 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def row_key() -> Column:
-    """What tells rows without a doc_id apart: their text, by which alone they are judged; null for others."""
-    return F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
-
-
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    """Rows of one document, or without doc_id and of one text."""
-    return a["doc_id"].eqNullSafe(b["doc_id_"]) & a["row_"].eqNullSafe(b["row__"])
+    """What tells texts of one doc_id, or of none, apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
@@ -95,12 +92,12 @@ def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | N
 
     Takes doc_id, text and what ``owner`` (by default source) and ``repository`` (by default source and
     lang) need; other columns stay out. Null or empty text has no secrets; a null owner counts as one of
-    its own, unknown one. One row for each input row with a unique doc_id: base counts and digest,
-    ``found`` (all candidates), and ``judged``, the candidates as (kind, start, end, owners,
-    repositories, verdict), in order: "example" if COPIED_OWNERS or more owners hold the value, "live"
-    if one does and it looks random, else "weak". Rows that repeat a doc_id count once for its owner,
-    and each gets the judgements of all; rows without a doc_id are judged by their own texts. A value that many documents hold is counted by partial sums
-    and joined by a join that splits skewed keys.
+    its own, unknown one. One row for each input row: base counts and digest, ``found`` (all candidates),
+    and ``judged``, the candidates as (kind, start, end, owners, repositories, verdict), in order:
+    "example" if COPIED_OWNERS or more owners hold the value, or COPIED_REPOSITORIES or more repositories
+    of two owners; else "live" if it looks random; else "weak". Rows that repeat doc_id and text get the
+    same judgements; texts that share a doc_id, or have none, are judged each. A value that many documents
+    hold is counted by partial sums and joined by a join that splits skewed keys. An empty table gives no rows.
     """
     return _secrets(docs, owner, repository).drop("row_")
 
@@ -117,13 +114,15 @@ def _secrets(docs: DataFrame, owner: Column | None = None, repository: Column |
         .groupBy("value_hash", "owner_").agg(F.count("*").alias("repos"))
         .groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
     )
-    verdict = F.when(F.col("owners") >= COPIED_OWNERS, "example").when(F.col("looks_live"), "live").otherwise("weak")
+    copied = (F.col("owners") >= COPIED_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= COPIED_REPOSITORIES))
+    verdict = F.when(copied, "example").when(F.col("looks_live"), "live").otherwise("weak")
     judged = (
         each.join(held, "value_hash")
         .groupBy(F.col("doc_id").alias("doc_id_"), F.col("row_").alias("row__"))
         .agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repositories", verdict.alias("verdict")))).alias("judged"))
     )
-    return scanned.join(judged, same_row(scanned, judged), "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "judged", "row_")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("row_") == F.col("row__"))
+    return scanned.join(judged, same, "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "judged", "row_")
 
 
 def span_text(found: str = "found") -> Column:
@@ -135,12 +134,14 @@ def span_text(found: str = "found") -> Column:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every live secret's span replaced by ``mask`` (n_chars follows); all columns stay.
 
-    Spans that overlap are masked as one. A document without live secrets keeps its row as it is. Rows
-    without a doc_id are masked by their own texts.
+    Spans that overlap are masked as one. A document without live secrets keeps its row as it is. A row
+    finds its spans by doc_id and text, so that repeated and missing doc_ids do no harm; columns may have
+    any names.
     """
-    live = _secrets(docs).select(F.col("doc_id").alias("doc_id_"), F.col("row_").alias("row__"), F.expr("filter(judged, x -> x.verdict = 'live')").alias("live_")).where("size(live_) > 0").dropDuplicates(["doc_id_", "row__"])
+    of, said, live, cut = (free(x, docs.columns) for x in ("of_", "said_", "live_", "cut_"))
+    told = _secrets(docs).select(F.col("doc_id").alias(of), F.col("row_").alias(said), F.expr("filter(judged, x -> x.verdict = 'live')").alias(live)).where(F.size(live) > 0).dropDuplicates([of, said])
     cuts = F.aggregate(
-        "live_",
+        live,
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
             F.struct(
@@ -149,9 +150,9 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             )
         ),
     )
-    keyed = docs.withColumn("row_", row_key())
-    joined = keyed.join(live, same_row(keyed, live), "left").withColumn("cut_", F.when(F.size("live_") > 0, cuts))
-    text = F.when(F.col("cut_").isNotNull(), F.concat(F.col("cut_.done"), F.substring(F.col("text"), F.col("cut_.at") + 1, F.length("text")))).otherwise(F.col("text"))
-    changed = F.col("cut_").isNotNull()
-    out = [text.alias(c) if c == "text" else F.when(changed, F.length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(out)
+    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col(of)) & (row_key() == F.col(said)), "left").withColumn(cut, F.when(F.size(live) > 0, cuts))
+    changed = F.col(cut).isNotNull()
+    new = {"text": F.when(changed, F.concat(F.col(f"{cut}.done"), F.substring(F.col("text"), F.col(f"{cut}.at") + 1, F.length("text")))).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(new["text"]).cast("long")).otherwise(F.col("n_chars"))
+    return joined.select([new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
