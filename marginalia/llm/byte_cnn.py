@@ -20,8 +20,8 @@ from .common import over_batches, raw, texts
 WIDTH, FILTERS, HIDDEN = 5, 16, 16
 #: A chunk has STRIDE places of a filter; chunks overlap by WIDTH - 1 bytes.
 STRIDE = 256
-#: The labelled sample: documents of each label at most, and characters of one of them.
-SAMPLE, SAMPLE_CHARS = 1200, 8000
+#: The labelled sample: documents of each label at most, and characters of all together, about.
+SAMPLE, SAMPLE_CHARS = 1200, 48_000_000
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 7
 PREDICT = 0.3
 
@@ -72,6 +72,16 @@ def _pool(net: Network, rows: np.ndarray, at_once: int = 512) -> np.ndarray:
     return np.maximum(out + net.bias, 0)
 
 
+def _peaks(net: Network, rows: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks, FILTERS): each filter's largest output, without bias, and its place."""
+    out, where = np.empty((len(rows), FILTERS), np.float32), np.empty((len(rows), FILTERS), np.int64)
+    for i in range(0, len(rows), at_once):
+        conv = convolve(net, rows[i : i + at_once])
+        where[i : i + at_once] = conv.argmax(1)
+        out[i : i + at_once] = np.take_along_axis(conv, where[i : i + at_once, None], 1)[:, 0]
+    return out, where
+
+
 def _gather(pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
     at = first[:-1]
     mean = np.add.reduceat(pooled, at, axis=0) / np.diff(first)[:, None]
@@ -88,6 +98,36 @@ def score(net: Network, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2, -30, 30).astype(np.float64)))
 
 
+def gradients(net: Network, rows: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted mean log loss of documents (chunks ``rows``, see ``chunked``) and its derivatives by the network's parameters."""
+    peaks, where = _peaks(net, rows)
+    pre = peaks + net.bias
+    pooled = np.maximum(pre, 0)
+    x = _gather(pooled, first)
+    h0 = x @ net.w1 + net.b1
+    h = np.maximum(h0, 0)
+    out = 1 / (1 + np.exp(-np.clip(h @ net.w2 + net.b2, -30, 30)))
+    loss = -float((weight * np.where(y == 1, np.log(out), np.log1p(-out))).mean())
+    d = (out - y) * weight / len(y)
+    g = {"w2": h.T @ d, "b2": np.array([d.sum()], np.float32)}
+    dh = np.outer(d, net.w2) * (h0 > 0)
+    g["w1"], g["b1"] = x.T @ dh, dh.sum(0)
+    dx = dh @ net.w1.T
+    count = np.diff(first)
+    doc = np.repeat(np.arange(len(y)), count)
+    dp = (dx[:, :FILTERS] / count[:, None])[doc]
+    for k in (1, 2):  # the gradient of a maximum or minimum goes to the chunks that have it
+        same = (pooled == x[doc, k * FILTERS : (k + 1) * FILTERS]).astype(np.float32)
+        dp += dx[doc, k * FILTERS : (k + 1) * FILTERS] * same / np.maximum(np.add.reduceat(same, first[:-1], axis=0), 1)[doc]
+    dp *= pre > 0
+    g["bias"] = dp.sum(0)
+    g["table"] = np.zeros_like(net.table)
+    column, chunk = np.broadcast_to(np.arange(FILTERS), where.shape), np.arange(len(rows))[:, None]
+    for k in range(WIDTH):
+        np.add.at(g["table"][k], (rows[chunk, where + k], column), dp)
+    return loss, g
+
+
 def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Network:
     """Train on (text, label) pairs by Adam on the log loss; labels weigh the same in sum.
 
@@ -112,33 +152,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Network:
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
             rows, first = chunked(np.concatenate([data[i] for i in some]), np.concatenate([[0], np.cumsum([len(data[i]) for i in some])]))
-            net = Network(p["table"], p["bias"], p["w1"], p["b1"], p["w2"], float(p["b2"][0]))
-            conv = convolve(net, rows)
-            where = conv.argmax(1)
-            pre = np.take_along_axis(conv, where[:, None], 1)[:, 0] + p["bias"]
-            pooled = np.maximum(pre, 0)
-            x = _gather(pooled, first)
-            h0 = x @ p["w1"] + p["b1"]
-            h = np.maximum(h0, 0)
-            out = 1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30)))
-            d = (out - y[some]) * weight[some] / len(some)
-            g = {"w2": h.T @ d, "b2": np.array([d.sum()], np.float32)}
-            dh = np.outer(d, p["w2"]) * (h0 > 0)
-            g["w1"], g["b1"] = x.T @ dh, dh.sum(0)
-            dx = dh @ p["w1"].T
-            count = np.diff(first)
-            doc = np.repeat(np.arange(len(some)), count)
-            dp = (dx[:, :FILTERS] / count[:, None])[doc]
-            for k in (1, 2):  # the gradient of a maximum or minimum goes to the chunks that have it
-                same = (pooled == x[doc, k * FILTERS : (k + 1) * FILTERS]).astype(np.float32)
-                dp += dx[doc, k * FILTERS : (k + 1) * FILTERS] * same / np.maximum(np.add.reduceat(same, first[:-1], axis=0), 1)[doc]
-            dp *= pre > 0
-            g["bias"] = dp.sum(0)
-            g["table"] = np.zeros_like(p["table"])
-            column = np.broadcast_to(np.arange(FILTERS), where.shape)
-            chunk = np.arange(len(rows))[:, None]
-            for k in range(WIDTH):
-                np.add.at(g["table"][k], (rows[chunk, where + k], column), dp)
+            _, g = gradients(Network(p["table"], p["bias"], p["w1"], p["b1"], p["w2"], float(p["b2"][0])), rows, first, y[some], weight[some])
             t += 1
             for k, x in p.items():
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -154,13 +168,22 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``each`` documents of each label, none held out or longer than ``chars``: those with the least hashes of doc_id."""
+    """Labelled documents, whole, none held out: at most ``each`` of each label, those with the least hashes of doc_id.
+
+    They are taken in the order of these hashes until they have ``chars`` characters together, one at least of each label.
+    Of texts that share a doc_id, the least one counts.
+    """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("quality").alias("q"))
-    found = []
-    for q in (0, 1):
-        few = marked.where(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        rows = texts(docs).where(F.length("text") <= chars).join(F.broadcast(few), "doc_id")  # ``each`` bounds it
-        found += [(r.doc_id, r.text, q) for r in rows.collect()]
+    marked = marked.withColumn("h", F.xxhash64("doc_id"))
+    few = marked.where("q = 0").orderBy("h", "doc_id").limit(each).union(marked.where("q = 1").orderBy("h", "doc_id").limit(each))
+    rows = texts(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id", "q", "h").agg(F.min("text").alias("text"))  # ``each`` bounds ``few``
+    total, taken, seen = 0, [], set()
+    for _, i, q, n in sorted(rows.select("h", "doc_id", "q", F.length("text")).collect()):
+        if total < chars or q not in seen:
+            taken.append(i)
+            seen.add(q)
+            total += n
+    found = rows.where(F.col("doc_id").isin(taken)).select("doc_id", "text", "q").collect()
     return [(text, q) for _, text, q in sorted(found)]
 
 
@@ -169,12 +192,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = PREDICT) ->
 
     Takes doc_id and text, and of ``labels`` doc_id and quality (other values than 0 and 1 are ignored).
     Returns doc_id, held_out, score and predicted for each input row; a null text is an empty one. Equal
-    texts have equal scores. Labels of held-out rows are never read.
+    texts have equal scores, as these are rounded to 9 places: sums in another order differ by less. Rows
+    without doc_id are scored too; labels of held-out rows are never read. An empty table gives no rows.
     """
     net = fit(sample(docs, labels))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = score(net, *raw(batch.column(1)))
+        found = np.round(score(net, *raw(batch.column(1))), 9)
         cols = [batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
