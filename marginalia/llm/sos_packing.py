@@ -89,13 +89,13 @@ def sos_pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDO
 
     Takes doc_id and text; other columns are ignored. A null or empty text is the end id alone. Pieces
     are laid without gaps from offset 0 of their sequence; each id of a document lies in one piece.
-    Documents are dealt to packers by a hash of doc_id, so that a packer's rows and state stay bounded
-    and the result doesn't depend on partitions or their order. Repeated doc_ids are packed each; an
-    empty table gives no rows.
+    Pieces are dealt to packers by a hash of doc_id, start and CRC-32, so that a packer's rows and state
+    stay bounded, whatever a document's length or its doc_id, and the result doesn't depend on partitions
+    or their order. Repeated doc_ids, or none, are packed each; an empty table gives no rows.
     """
     n = docs.count()
     shards = max(1, -(-n // shard_docs))
-    rows = pieces(docs, vocabulary, window, end_id).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)))
+    rows = pieces(docs, vocabulary, window, end_id).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id", "start", "ids_crc32"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
