@@ -49,3 +49,10 @@ def test_stages(spark, tmp_path):
         assert got == now
         docs = out
     common.clear_scratch()
+
+
+def test_no_documents(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    common.clear_scratch()
