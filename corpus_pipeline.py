@@ -6,6 +6,7 @@ own scratch tables go when the next one begins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; all but the last are written to the shared folder."""
-    docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir))
+    docs, run_id, last = common.table(spark, sf_dir, "documents"), uuid.uuid4().hex, None
+    for name, stage in STAGES[:-1]:
+        with common.scratch_of(f"{run_id} {name}"):
+            docs = common.materialize(stage(spark, docs, sf_dir))
+        if last:  # a stage's table goes when the next one's is written
+            common.clear_scratch(f"{run_id} {last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
