@@ -125,8 +125,8 @@ def _to_buckets(key: np.ndarray, more: np.ndarray, at: Places, buckets: int, ans
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, _TYPES, strict=True)], names=_NAMES)
 
 
-def _compare(rows: DataFrame, more_kind: type, first_stays: bool, n: int) -> DataFrame:
-    """(doc_id, kind, places), one row a text: where hashes stand that also stand elsewhere.
+def _compare(rows: DataFrame, more_kind: type, first_stays: bool, n: int, keys: list[str]) -> DataFrame:
+    """(``keys``, places), one row a text: where hashes stand that also stand elsewhere.
 
     ``first_stays``: not the first occurrence of all (by doc_id, kind, place); else every occurrence. A
     task holds one bucket at a time. Its answers go by parts of the documents, so that their rows don't
@@ -199,7 +199,7 @@ def _compare(rows: DataFrame, more_kind: type, first_stays: bool, n: int) -> Dat
 
     spread = F.when(F.col("bucket") < 0, F.hash("docs")).otherwise(F.col("bucket"))
     answers = rows.repartition(n, spread).sortWithinPartitions("bucket").mapInArrow(run, PARTS)
-    return answers.repartition(n, "part").mapInArrow(gather, ANSWERS).hint("shuffle_hash")
+    return answers.repartition(n, "part").mapInArrow(gather, ANSWERS).select(*keys, "places").hint("shuffle_hash")
 
 
 def _cover_positions(words: Words, size: int, least: int) -> np.ndarray:
@@ -216,11 +216,13 @@ def _told(docs: DataFrame, window: int, rest: Column | None = None) -> DataFrame
         raise ValueError(f"a window has more than {PERIOD} words")
     size, n = window - PERIOD + 1, partitions_for(docs)
     buckets = n * BUCKETS
-    # Texts of one doc_id are told apart by a hash, if there are any; rows without a doc_id are dealt by one.
-    apart = F.xxhash64(F.coalesce("text", F.lit("")))
-    kind = apart if repeats_ids(docs) else F.when(F.col("doc_id").isNull(), apart).otherwise(F.lit(0).cast("long"))
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"), *([rest.alias("rest")] if rest is not None else []))
-    named = whole.where("doc_id is not null").select("doc_id", "text", "kind")
+    # Texts of one doc_id are told apart by a hash, if there are any.
+    keys = ["doc_id", "kind"] if repeats_ids(docs) else ["doc_id"]
+    kind = F.xxhash64(F.coalesce("text", F.lit(""))) if len(keys) > 1 else F.lit(0).cast("long")
+    more = ["rest"] if rest is not None else []
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"), *([rest.alias("rest")] if more else []))
+    whole = rows.where("doc_id is not null")  # said once, so that both joins below share one exchange
+    nameless = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("places"), *more)
 
     def hashed(batch: pa.RecordBatch, at: np.ndarray, words: Words) -> Places:
         doc = words.doc[at]
@@ -250,11 +252,11 @@ def _told(docs: DataFrame, window: int, rest: Column | None = None) -> DataFrame
             one, two = (windows(hashes(body, words, seed=s), window, seed=s)[at] for s in (1, 2))
             yield from _to_buckets(one, (mix(two) >> np.uint64(32)).astype(np.uint32), hashed(batch, at, words), buckets, False)
 
-    dealt = whole.repartition(n, "doc_id", "kind")
-    shared = _compare(over_batches(named, anchors, ROWS), np.uint8, False, n)
-    candidates = dealt.join(shared, ["doc_id", "kind"]).select("doc_id", "text", "kind", "places")
-    twice = _compare(over_batches(candidates, around, ROWS), np.uint32, True, n)
-    return dealt.join(twice, ["doc_id", "kind"], "left").select("doc_id", "text", "places", *(["rest"] if rest is not None else []))
+    dealt = whole.repartition(n, *keys)
+    shared = _compare(over_batches(whole.select("doc_id", "text", "kind"), anchors, ROWS), np.uint8, False, n, keys)
+    candidates = dealt.join(shared, keys).select("doc_id", "text", kind.alias("kind") if len(keys) == 1 else "kind", "places")
+    twice = _compare(over_batches(candidates, around, ROWS), np.uint32, True, n, keys)
+    return dealt.join(twice, keys, "left").select("doc_id", "text", "places", *more).union(nameless)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
