@@ -7,12 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, partitions
 
 
+def join_by_parts(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, n: int) -> DataFrame:
+    """``rows`` with the one row of ``facts`` that has their ``keys``; others go.
+
+    A key's rows are dealt over ``n`` parts by a hash of ``spread``, and each part meets the fact once, so
+    that a key of many rows isn't one task's.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(n)))
+    told = dealt.select(*keys, "part").distinct().join(facts, keys)
+    return dealt.join(told, [*keys, "part"]).drop("part")
+
+
 def with_least(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    """``rows`` with ``m``, the least ``value`` of their ``key``. A key's rows stay dealt over ``n`` parts: each part gets the least once."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(value), F.lit(n)))
-    parts = dealt.groupBy(key, "part").agg(F.min(value).alias("m"))
-    least = parts.groupBy(key).agg(F.min("m").alias("m"))
-    return dealt.join(parts.select(key, "part").join(least, key), [key, "part"]).drop("part")
+    """``rows`` with ``m``, the least ``value`` of their ``key``, joined by parts."""
+    return join_by_parts(rows, rows.groupBy(key).agg(F.min(value).alias("m")), [key], value, n)
 
 
 def _is_stars(links: DataFrame) -> bool:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SLICE_BYTES, materialize, over_batches, partitions_for, raw, repeats_ids, texts
-from .components import components
+from .components import components, join_by_parts
 from .words import hashes, mix, split, windows
 
 #: 32 bands of 4: a pair of similarity 0.8 shares none with probability 5e-8.
@@ -325,7 +325,7 @@ def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     size = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / TASK).cast("int")
     placed = materialize(
-        cluster.join(size, "cluster").select(F.col("id").alias("doc_id"), "cluster", "members", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("long").alias("chunk"))
+        join_by_parts(cluster, size, ["cluster"], "id", n).select(F.col("id").alias("doc_id"), "cluster", "members", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("long").alias("chunk"))
     )
     whole = texts(docs).repartition(n, "doc_id").join(placed.hint("shuffle_hash"), "doc_id").join(some.select("doc_id", "sketch").hint("shuffle_hash"), "doc_id")
     whole = materialize(whole.select("cluster", "chunk", "members", "parts", "doc_id", "sketch", "text"))
@@ -352,7 +352,7 @@ def _components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
         labelled = materialize(labelled.select("cluster", "members", "doc_id", "sketch", "text", "label"))
         most = labelled.groupBy("cluster", "label").agg(F.count("*").alias("held")).groupBy("cluster").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("main"))
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        grouped = labelled.join(most, "cluster").select("cluster", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "doc_id", "label", "sketch", (F.col("label") != F.col("main")).alias("apart"))
+        grouped = join_by_parts(labelled.drop("text"), most, ["cluster"], "doc_id", n).select("cluster", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "doc_id", "label", "sketch", (F.col("label") != F.col("main")).alias("apart"))
         packed = materialize(grouped.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_pack, PACKED))
         own = packed.where("has_apart").select("cluster", F.col("block").alias("g_block"), *(F.col(x).alias("g_" + x) for x in ("ids", "labels", "sketches", "apart")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         pairs = own.join(packed.drop("blocks", "has_apart"), ["cluster", "block"])
