@@ -206,9 +206,18 @@ def json_in_html(text: Column | str) -> Column:
     return out
 
 
-def query_status(query: Column | str, most: int = 500) -> Column:
-    """HTTP status of a search query (STR-31): 400 empty or control characters, 413 too long, else 200."""
-    q = F.trim(col(query))
+#: White space as JavaScript's patterns have it.
+WHITE = r"[\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def query_text(query: Column | str) -> Column:
+    """A query with white space squeezed and trimmed."""
+    return F.trim(F.regexp_replace(col(query), WHITE, " "))
+
+
+def query_status(query: Column | str, most: int = 400) -> Column:
+    """HTTP status of a search query (STR-31): 400 empty or control characters, 413 too long once squeezed, else 200."""
+    q = query_text(query)
     return F.when(col(query).isNull() | (q == ""), 400).when(F.length(q) > most, 413).when(q.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), 400).otherwise(200)
 
 

@@ -65,19 +65,72 @@ def floor_percentile(values: DataFrame, p: float, *keys: str) -> DataFrame:
 
 
 def successful_reads(calls: DataFrame) -> DataFrame:
-    """Tool calls that read something (FIL-08)."""
-    return calls.where(F.col("tool").isin("read", "fetch", "assistant") & ~F.coalesce("is_error", F.lit(False)) & (F.col("result") != ""))
+    """Calls of the tool ``read`` that returned a file (FIL-08): neither flagged nor with a result that begins with "error:"."""
+    failed = F.coalesce("is_error", F.lit(False)) | F.coalesce(F.col("result").startswith("error:"), F.lit(False))
+    return calls.where((F.col("tool") == "read") & ~failed)
+
+
+def read_path(path: Column | str) -> Column:
+    """A path as it is compared: slashes, no leading ./ or /."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", ""), "^/+", "")
 
 
 def read_summary(calls: DataFrame) -> DataFrame:
-    """(run_id, reads, groups, any_index): what each run has read (AGG-17, AGG-18)."""
-    reads = successful_reads(calls)
-    return reads.groupBy("run_id").agg(F.count("*").alias("reads"), F.array_sort(F.collect_set("path")).alias("groups"), F.bool_or(F.col("path").startswith("th")).alias("any_index"))
+    """(run_id, reads, read_index, read_full, sections, pages, groups): what each run has read (AGG-17, AGG-18).
+
+    ``calls`` has run_id, tool, path, result, is_error. ``sections`` are groups whose own index was read,
+    ``groups`` those whose full bundle was, ``pages`` Markdown pages below docs/. Runs that read nothing
+    have a row, too.
+    """
+    good = successful_reads(calls).where("path is not null").select("run_id", read_path("path").alias("path"))
+    name = lambda pattern: F.nullif(F.regexp_extract("path", pattern, 1), F.lit(""))
+    page = F.when(F.col("path").startswith("docs/") & F.col("path").endswith(".md") & ~F.col("path").startswith("docs/llms-full/"), F.col("path"))
+    some = good.groupBy("run_id").agg(
+        F.count("*").alias("reads"), F.bool_or(F.col("path") == "llms.txt").alias("read_index"), F.bool_or(F.col("path") == "llms-full.txt").alias("read_full"),
+        F.array_sort(F.collect_set(name(r"^docs/([^/]+)/llms\.txt$"))).alias("sections"), F.array_sort(F.collect_set(page)).alias("pages"),
+        F.array_sort(F.collect_set(name(r"^docs/llms-full/([^/]+)\.txt$"))).alias("groups"),
+    )
+    none = {"reads": F.lit(0), "read_index": F.lit(False), "read_full": F.lit(False)} | {c: F.array().cast("array<string>") for c in ("sections", "pages", "groups")}
+    return calls.select("run_id").distinct().join(some, "run_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+
 
+# Groups of pages by the beginning of their paths.
+HOMES = {"docs/authoring/": "authoring", "docs/build/": "build", "docs/reference/": "reference", "docs/quickstart.md": "get-started", "docs/how-it-works.md": "get-started"}
 
-def context_matched(reads: DataFrame, expected: DataFrame) -> DataFrame:
-    """(run_id, matched): whether each run has read all that its fixture expects (AGG-19)."""
-    return expected.join(reads.select("run_id", "groups"), "run_id", "left").select("run_id", (F.size(F.array_except("expected", F.coalesce("groups", F.array().cast("array<string>")))) == 0).alias("matched"))
+
+def home(page: Column, homes: dict[str, str] | None = None) -> Column:
+    """The group that a page belongs to, null if none: by folder, or by its whole path."""
+    out = F.lit(None).cast("string")
+    for start, group in (HOMES if homes is None else homes).items():
+        out = F.when(page.startswith(start) if start.endswith("/") else page == start, group).otherwise(out)
+    return out
+
+
+def context_matched(reads: DataFrame, expected: DataFrame, homes: dict[str, str] | None = None) -> DataFrame:
+    """(run_id, matched, missing, wrong_groups): whether each run's reads fit its layout (AGG-19).
+
+    ``expected`` has run_id, variant, expected_groups and expected_pages. Every run reads the index.
+    page-links: all expected pages; explicit-bundles: the groups' bundles; monolith: the full file; router:
+    the full file and the bundles; section-indexes: the groups' indexes, and each page or its group's
+    bundle; another variant fits nothing. A bundle of another group spoils a match.
+    """
+    both = expected.join(reads, "run_id", "left")
+    have = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    lack = lambda what, c: F.transform(F.array_except(what, have(c)), lambda x: F.concat(F.lit(f"{c}:"), x))
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit(c)))
+    bundled = F.filter("expected_pages", lambda p: ~F.array_contains(have("groups"), F.coalesce(home(p, homes), F.lit(""))))
+    groups, pages = lack("expected_groups", "groups"), lack("expected_pages", "pages")
+    rules = {
+        "page-links": pages, "explicit-bundles": groups, "monolith": flag("read_full"), "router": F.concat(flag("read_full"), groups),
+        "section-indexes": F.concat(lack("expected_groups", "sections"), lack(bundled, "pages")),
+    }
+    more = F.array(F.lit("variant"))
+    for variant, rule in rules.items():
+        more = F.when(F.col("variant") == variant, rule).otherwise(more)
+    wrong = F.array_except(have("groups"), "expected_groups")
+    out = both.select("run_id", F.concat(flag("read_index"), more).alias("missing"), wrong.alias("wrong_groups"))
+    return out.select("run_id", ((F.size("missing") == 0) & (F.size("wrong_groups") == 0)).alias("matched"), "missing", "wrong_groups")
 
 
 def transient(message: Column | str) -> Column:

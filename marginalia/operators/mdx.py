@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import json
 import re
+import textwrap
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-_OPEN = re.compile(r"<([A-Z][A-Za-z0-9]*)((?:\s+[A-Za-z_:][\w:.-]*(?:=(?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}))?)*)\s*(/?)>")
+from ..scratch import materialize
+
+#: Components, and the HTML elements that are treated as such.
+_NAME = r"(?:[A-Z][A-Za-z0-9]*|details|summary)"
+_OPEN = re.compile(rf"<({_NAME})" + r"((?:\s+[A-Za-z_:][\w:.-]*(?:=(?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}))?)*)\s*(/?)>")
 _ATTR = re.compile(r"([A-Za-z_:][\w:.-]*)(?:=(?:\"([^\"]*)\"|'([^']*)'|\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}))?")
 _FENCE = re.compile(r"^\s*(```+|~~~+)")
-_CALLOUTS = {"info": "Info", "note": "Note", "tip": "Tip", "warn": "Warning", "warning": "Warning", "error": "Error", "success": "Success", "canary": "Canary", "deprecated": "Deprecated"}
-_MANAGERS = {"npm": "npm install {}", "pnpm": "pnpm add {}", "yarn": "yarn add {}", "bun": "bun add {}"}
+# Marks and labels of callouts; what package managers are told in each mode.
+_CALLOUTS = {
+    "info": "ℹ️ Info", "note": "📝 Note", "tip": "💡 Tip", "warn": "⚠️ Warning", "warning": "⚠️ Warning", "success": "✅ Success", "error": "❌ Error",
+    "canary": "🐤 Canary", "deprecated": "🚫 Deprecated", "experimental": "🧪 Experimental",
+}
+_MANAGERS = {
+    "run": {"npm": "npx", "pnpm": "pnpm dlx", "yarn": "yarn dlx", "bun": "bunx"},
+    "install": {"npm": "npm install", "pnpm": "pnpm add", "yarn": "yarn add", "bun": "bun add"},
+    "create": {"npm": "npm create", "pnpm": "pnpm create", "yarn": "yarn create", "bun": "bun create"},
+}
 
 
 @dataclass
@@ -82,7 +95,7 @@ def parse(source: str) -> list[object]:
             add(body)
             continue
         at = 0
-        for m in re.finditer(r"</([A-Z][A-Za-z0-9]*)\s*>|" + _OPEN.pattern, body):
+        for m in re.finditer(rf"</({_NAME})\s*>|" + _OPEN.pattern, body):
             add(body[at : m.start()])
             at = m.end()
             if m[1]:
@@ -118,15 +131,25 @@ def flattener(*names: str) -> Callable[[Handler], Handler]:
     return register
 
 
+def plain(text: str) -> str:
+    """Inline Markdown as text: labels of links and images, no marks and tags, white space squeezed."""
+    text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text)
+    text = re.sub(r"</?[A-Za-z][^<>]*>", "", text)
+    text = re.sub(r"(\*\*|__|`)(?=\S)(.+?)(?<=\S)\1", r"\2", text)
+    text = re.sub(r"(?<![\w*])([*_])(?=\S)(.+?)(?<=\S)\1(?![\w*])", r"\2", text)
+    return " ".join(text.split())
+
+
 def _quoted(text: str) -> str:
     return "\n".join(f"> {x}".rstrip() for x in text.strip().split("\n"))
 
 
 @flattener("Callout")
 def _callout(node: Node, body: str) -> str:
-    kind = _CALLOUTS.get(node.text("variant", node.text("type", "info")), "Info")
-    title = node.text("title")
-    return _quoted(f"**{kind}{': ' + title if title else ''}**\n\n{body.strip()}")
+    """A quotation of one paragraph: mark, label and title, then the body's plain text on a line."""
+    mark, label = _CALLOUTS.get((node.text("variant") or node.text("type")).lower(), _CALLOUTS["info"]).split(" ")
+    title, said = node.text("title").strip(), plain(body)
+    return _quoted(f"{mark} **{label}:**" + (f" **{title}**" if title else "") + (f"\n{said}" if said else ""))
 
 
 @flattener("Steps")
@@ -154,8 +177,11 @@ def _tabs(node: Node, body: str) -> str:  # noqa: ARG001
 
 @flattener("CommandTabs")
 def _commands(node: Node, body: str) -> str:  # noqa: ARG001
-    what = node.text("command", node.text("package"))
-    return "\n".join(["| Package manager | Command |", "| --- | --- |", *(f"| {k} | `{v.format(what)}` |" for k, v in _MANAGERS.items())])
+    what, mode = node.text("command").strip(), node.text("mode", "run").strip()
+    if not what:
+        return ""
+    told = _MANAGERS.get(mode, _MANAGERS["run"])
+    return "\n".join(["| Package manager | Command |", "| :--- | :--- |", *(f"| {k} | `{v} {what}` |" for k, v in told.items())])
 
 
 @flattener("Cards", "TopicSwitcher")
@@ -171,9 +197,18 @@ def _card(node: Node, body: str) -> str:
     return f"- [{title}]({href})" + (f": {said}" if said else "") if href else f"- {title}" + (f": {said}" if said else "")
 
 
-@flattener("Details")
-def _details(node: Node, body: str) -> str:
-    return f"### {node.text('summary', node.text('title', 'Details'))}\n\n{body.strip()}"
+@flattener("Details", "details")
+def _details(node: Node, body: str) -> str:  # noqa: ARG001
+    """A heading by the last summary that has text, then what else there is."""
+    said, rest = "", []
+    for child in node.children:
+        text = plain(render(child.children)) if isinstance(child, Node) and child.name == "summary" else ""
+        if text:
+            said = text
+        else:
+            rest.append(child)
+    inner = textwrap.dedent(render(rest)).strip()
+    return f"### {said or 'Details'}\n\n{inner}".strip() if said or inner else ""
 
 
 @flattener("AccordionItem")
@@ -181,7 +216,7 @@ def _item(node: Node, body: str) -> str:
     return f"**{node.text('title')}**\n\n{body.strip()}"
 
 
-@flattener("Accordion", "Section", "Step", "Tab", "Example", "Folder")
+@flattener("Accordion", "Section", "Step", "Tab", "Example", "Folder", "summary")
 def _unwrap(node: Node, body: str) -> str:  # noqa: ARG001
     return body.strip()
 
@@ -222,7 +257,7 @@ def _types(node: Node, body: str) -> str:  # noqa: ARG001
     if not isinstance(rows, dict):
         return ""
     cell = lambda x: str(x if x is not None else "").replace("|", "\\|")
-    out = ["| Property | Type | Description | Required |", "| --- | --- | --- | --- |"]
+    out = ["| Property | Type | Description | Required |", "| :--- | :--- | :--- | :--- |"]
     for name, v in rows.items():
         v = v if isinstance(v, dict) else {"type": v}
         out.append(f"| {cell(name)} | `{cell(v.get('type'))}` | {cell(v.get('description', ''))} | {'yes' if v.get('required') else 'no'} |")
@@ -277,8 +312,31 @@ def strip_module_code(source: str) -> str:
     return re.sub(r"\{/\*[\s\S]*?\*/\}", "", "\n".join(out))
 
 
-def expand_includes(text: str, files: dict[str, str], path: str = "", depth: int = 8) -> str:
-    """Text with <include>path#section</include> replaced by files, sections cut out (MDX-04 to MDX-06)."""
+_INCLUDE = r"<include>([^<]+)</include>"
+
+
+def fill_urls(text: str, values: dict[str, str]) -> str:
+    """Placeholders filled in the targets of links, images, definitions and in properties that hold URLs (MDX-09).
+
+    {key} without a value stays, {key:fallback} takes the fallback.
+    """
+    fill = lambda url: re.sub(r"\{([A-Za-z_][A-Za-z0-9_.]*)(?::([^{}]*))?\}", lambda m: values.get(m[1], m[2] if m[2] is not None else m[0]), url)
+    text = re.sub(r"(\]\()([^)\s]+)", lambda m: m[1] + fill(m[2]), text)
+    text = re.sub(r"(?m)^(\s*\[[^\]]+\]:\s*)(\S+)", lambda m: m[1] + fill(m[2]), text)
+    return re.sub(r"""(\b(?:href|src|url)=["'])([^"']*)""", lambda m: m[1] + fill(m[2]), text)
+
+
+def context(path: str) -> dict[str, str]:
+    """What a page's path says of placeholders: its framework."""
+    found = re.search(r"(?:^|/)frameworks/([^/]+)/", path)
+    return {"framework": found[1]} if found else {}
+
+
+def expand_includes(text: str, files: dict[str, str], path: str = "", within: frozenset[str] = frozenset()) -> str:
+    """Text with <include>path#section</include> replaced by files, sections cut out (MDX-04 to MDX-06).
+
+    Includes may nest however deep; a file that would include itself is left out there.
+    """
 
     def put(m: re.Match) -> str:
         target, _, part = m[1].strip().partition("#")
@@ -289,10 +347,10 @@ def expand_includes(text: str, files: dict[str, str], path: str = "", depth: int
                 if part:
                     found = re.search(rf'<section id="{re.escape(part)}">([\s\S]*?)</section>', body)
                     body = found[1].strip() if found else ""
-                return expand_includes(body, files, name, depth - 1) if depth else ""
+                return "" if m[1].strip() + name in within else expand_includes(body, files, name, within | {m[1].strip() + name})
         return ""
 
-    return re.sub(r"<include>([^<]+)</include>", put, text)
+    return re.sub(_INCLUDE, put, text)
 
 
 def compact_tables(text: str) -> str:
@@ -308,21 +366,55 @@ def compact_tables(text: str) -> str:
 
 
 def to_markdown(source: str, files: dict[str, str] | None = None, path: str = "", handlers: dict[str, Handler] | None = None) -> str:
-    """One page's MDX as Markdown (MDX-02): includes, module code, components, blank lines."""
-    text = expand_includes(source, files or {}, path)
+    """One page's MDX as Markdown (MDX-02): includes, module code, placeholders in URLs, components, blank lines."""
+    text = fill_urls(expand_includes(source, files or {}, path), context(path))
     text = render(parse(strip_module_code(text)), handlers)
     return compact_tables(re.sub(r"\n{3,}", "\n\n", text)).strip() + "\n"
 
 
-def convert(pages: DataFrame, files: dict[str, str] | None = None, handlers: dict[str, Handler] | None = None) -> DataFrame:
-    """(path, markdown) of (path, source): a corpus in Markdown (MDX-01). ``files`` are what pages may include."""
+def _targets(rows: DataFrame) -> DataFrame:
+    """(owner, target): paths that each of (path, source) may include: beside it, and from the root."""
+    each = rows.select(F.col("path").alias("owner"), F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(_INCLUDE), F.lit(1)))).alias("raw"))
+    name = F.split_part(F.trim("raw"), F.lit("#"), F.lit(1))
+    beside = F.concat(F.regexp_replace("owner", "[^/]*$", ""), name)
+    return each.select("owner", F.explode(F.array_distinct(F.array(beside, name))).alias("target"))
+
+
+def included(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target): every file that a page includes, directly or by other files.
+
+    Links of files to files are followed round by round until no page reaches a new one, so that loops end.
+    """
+    known = files.select(F.col("path").alias("target")).distinct()
+    links = materialize(_targets(files).join(known, "target").select("owner", "target"))
+    reached = fresh = materialize(_targets(pages).join(known, "target").select(F.col("owner").alias("path"), "target").distinct())
+    while not fresh.isEmpty():
+        onward = fresh.select("path", F.col("target").alias("owner")).join(links, "owner").select("path", "target").distinct()
+        fresh = materialize(onward.join(reached, ["path", "target"], "left_anti"))
+        reached = reached.union(fresh)
+    return reached
+
+
+def convert(pages: DataFrame, files: DataFrame | None = None, handlers: dict[str, Handler] | None = None) -> DataFrame:
+    """(path, markdown) of (path, source): a corpus in Markdown (MDX-01).
+
+    ``files`` (path, source) is what pages may include; each page is joined with just the files it needs.
+    """
     known = dict(HANDLERS if handlers is None else handlers)
+    rows = pages.select("path", "source")
+    if files is None:
+        rows = rows.withColumn("files", F.lit(None).cast("map<string,string>"))
+    else:
+        body = files.select(F.col("path").alias("target"), F.col("source").alias("body"))
+        needed = included(rows, files).join(body, "target").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("target", "body"))).alias("files"))
+        rows = rows.join(needed, "path", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "markdown": [to_markdown(s or "", files, p or "", known) for p, s in zip(pdf["path"], pdf["source"], strict=True)]})
+            done = [to_markdown(s or "", dict(f) if f is not None else {}, p or "", known) for p, s, f in zip(pdf["path"], pdf["source"], pdf["files"], strict=True)]
+            yield pd.DataFrame({"path": pdf["path"], "markdown": done})
 
-    return pages.select("path", "source").mapInPandas(run, "path string, markdown string")
+    return rows.select("path", "source", "files").mapInPandas(run, "path string, markdown string")
 
 
 def run_hooks(value: object, hooks: list[tuple[str, Callable[[object], object]]], stage: str) -> object:

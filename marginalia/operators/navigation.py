@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..llm.common import materialize
+from ..scratch import materialize
 
 # Crawlers that fetch for answers, those that gather training data, and names in user agents.
 RETRIEVAL = (

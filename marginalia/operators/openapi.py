@@ -154,6 +154,22 @@ def by_tag(ops: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("tag", F.lit("default")).alias("tag")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("op")), lambda x: x["operation_id"]), ",").alias("operations"))
 
 
+def security(spark: SparkSession, spec: dict) -> DataFrame:
+    """(path, method, choice, scheme, type, scopes): schemes that each operation's requirements name (JOI-22).
+
+    An operation's own requirements replace the document's; choices are alternatives, a choice's schemes
+    hold together. Names without a scheme are left out; operations without requirements are public.
+    """
+    needs = [
+        (path, m, k, name, list(scopes or []))
+        for path, item in spec.get("paths", {}).items() for m, op in item.items() if m in METHODS
+        for k, choice in enumerate(op.get("security", spec.get("security")) or []) for name, scopes in choice.items()
+    ]
+    known = [(name, str(s.get("type", ""))) for name, s in (spec.get("components", {}).get("securitySchemes") or {}).items()]
+    rows = spark.createDataFrame(needs, "path string, method string, choice int, scheme string, scopes array<string>")
+    return rows.join(spark.createDataFrame(known, "scheme string, type string"), "scheme").select("path", "method", "choice", "scheme", "type", "scopes")
+
+
 def responses(ops: DataFrame) -> DataFrame:
     """(path, method, status, description, media) of every response of operations (API-05)."""
     parsed = F.from_json(F.get_json_object("body", "$.responses"), "map<string, struct<description: string, content: map<string, string>>>")

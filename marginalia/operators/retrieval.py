@@ -1,8 +1,8 @@
-"""Inverted index and ranked retrieval over tables of chunks and queries (SEA-01 to SEA-30)."""
+"""Inverted index and ranked retrieval over tables of chunks and queries (SEA-01 to SEA-11, SEA-18, SEA-19, SEA-28, SEA-30)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -19,16 +19,18 @@ LIMIT, SOURCES, CONTEXT_CHARS = 8, 6, 12_000
 
 @dataclass
 class Index:
-    """chunks: chunk_pos, url, text, length, and the fields; postings: term, chunk_pos, tf_*; vocab: term, stem, df, term_rank."""
+    """chunks: chunk_pos, url, text, length, and the fields; postings: term, chunk_pos, tf_*, impact; vocab: term, stem, df, term_rank."""
 
     chunks: DataFrame
     postings: DataFrame
     vocab: DataFrame
+    kept: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
         """Free what ``build`` has persisted."""
-        for table in (self.chunks, self.postings, self.vocab):
+        for table in self.kept:
             table.unpersist()
+        self.kept.clear()
 
     def stats(self) -> DataFrame:
         """One row: the number of chunks and their average length, at least 1 (AGG-02)."""
@@ -50,21 +52,58 @@ def build(chunks: DataFrame) -> Index:
     """An index of ``chunks``: chunk_pos, url, title, description, heading, text, code (SEA-02, SEA-03, AGG-01, AGG-03).
 
     ``text`` is the chunk's whole text. The body field counts description and text. A term's rank is
-    that of its first occurrence, canonical numbers first, by value. The tables are persisted, as each is
-    read several times by a search; ``Index.release`` frees them.
+    that of its first occurrence, canonical numbers first, by value. A posting has its term's whole share
+    of a chunk's score (``impact``), so that scoring joins nothing but postings. Texts are tokenised once.
+    The tables are persisted, as each is read several times by a search; ``Index.release`` frees them.
     """
-    fields = {"title": T.tokens("title"), "heading": T.tokens("heading"), "body": T.tokens(F.concat_ws(" ", "description", "text")), "code": T.tokens("code")}
     rows = chunks.select("*", T.tokens("text").alias("tokens")).withColumn("length", F.size("tokens").cast("long")).persist()
-    each = None
-    for k, (name, found) in enumerate(fields.items()):
-        part = chunks.select("chunk_pos", F.lit(k).alias("field"), F.posexplode(found).alias("place", "term"))
-        each = part if each is None else each.unionByName(part)
+    body = F.concat(T.tokens(F.coalesce("description", F.lit(""))), "tokens")
+    fields = {"title": T.tokens("title"), "heading": T.tokens("heading"), "body": body, "code": T.tokens("code")}
+
+    def held(k: int, found: Column) -> Column:
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda t, i: F.struct(F.lit(k).alias("field"), i.alias("place"), t.alias("term")))
+
+    each = rows.select("chunk_pos", F.explode(F.concat(*(held(k, found) for k, found in enumerate(fields.values())))).alias("t")).select("chunk_pos", "t.*")
     tf = [F.sum((F.col("field") == k).cast("long")).alias(f"tf_{name}") for k, name in enumerate(fields)]
-    postings = each.groupBy("term", "chunk_pos").agg(*tf, F.min(F.struct("field", "place")).alias("seen")).persist()
+    counted = each.groupBy("term", "chunk_pos").agg(*tf, F.min(F.struct("field", "place")).alias("seen")).persist()
     number = F.col("term").rlike("^(0|[1-9][0-9]{0,9})$") & (F.try_to_number("term", F.lit("9999999999")) < 4294967295)
-    vocab = postings.groupBy("term").agg(F.count("*").alias("df"), F.min(F.struct("chunk_pos", "seen")).alias("seen"))
+    vocab = counted.groupBy("term").agg(F.count("*").alias("df"), F.min(F.struct("chunk_pos", "seen")).alias("seen"))
     rank = F.struct(F.when(number, 0).otherwise(1), F.when(number, F.try_to_number("term", F.lit("9999999999")).cast("long")).otherwise(0), F.col("seen"))
-    return Index(rows, postings.drop("seen"), vocab.select("term", T.stem("term").alias("stem"), "df", rank.alias("term_rank")).persist())
+    vocab = vocab.select("term", T.stem("term").alias("stem"), "df", rank.alias("term_rank")).persist()
+    index = Index(rows, counted, vocab)
+    weighed = sum((F.col(f"tf_{name}") * weight for name, weight in FIELD_WEIGHTS.items()), F.lit(0.0))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = weighed * (K1 + 1) / (weighed + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    facts = counted.drop("seen").join(vocab.select("term", "df"), "term").join(rows.select("chunk_pos", "length"), "chunk_pos").crossJoin(F.broadcast(index.stats()))  # one row
+    index.postings = facts.select("term", "chunk_pos", *(f"tf_{name}" for name in fields), (idf * norm).alias("impact")).persist()
+    index.kept = [rows, counted, vocab, index.postings]
+    return index
+
+
+def chunk_rows(pages: DataFrame, most: int = 1200, overlap: int = 160) -> DataFrame:
+    """Pages as the chunks that ``build`` takes: a section's text and code in overlapping parts (SEA-02, ARR-01 to ARR-03).
+
+    ``pages`` has page_id (a number, the pages' order), url, title, description and content. The k-th parts
+    of a section's text and code make one chunk, whose text begins with title, description and the path of
+    headings. ``chunk_pos`` is the page's number and, in its low 32 bits, the chunk's number within.
+    """
+    from . import structure as S
+
+    sections = S.sections(pages).select("page_id", "section", "heading_path", "text", "code")
+    key = F.struct("page_id", "section").alias("id")
+    cut = lambda c: S.chunks(sections.where(F.col(c) != "").select(key, F.col(c).alias("text")), most, overlap).select("id.*", "part", F.col("text").alias(c))
+    parts = cut("text").join(cut("code"), ["page_id", "section", "part"], "full")
+    said = parts.join(sections.select("page_id", "section", "heading_path"), ["page_id", "section"])
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("section", "part")).cast("long") - 1
+    rows = said.withColumn("n", number).join(pages.select("page_id", "url", "title", F.coalesce("description", F.lit("")).alias("description")), "page_id")
+    path = F.coalesce(F.filter("heading_path", lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    code = F.coalesce("code", F.lit(""))
+    body = F.array_join(F.filter(F.array(F.coalesce("text", F.lit("")), code), lambda x: x != ""), "\n\n")
+    return rows.select(
+        (F.shiftleft(F.col("page_id").cast("long"), 32) + F.col("n")).alias("chunk_pos"), "page_id", "url", "title", "description", F.array_join(path, " ").alias("heading"),
+        path.alias("heading_path"), T.slug(F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit(""))).alias("anchor"),
+        chunk_text(F.col("title"), F.col("description"), path, body).alias("text"), code.alias("code"),
+    )
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -106,13 +145,12 @@ def expand(queries: DataFrame, index: Index, more: dict[str, list[str]] | None =
 
 
 def score(expanded: DataFrame, index: Index) -> DataFrame:
-    """(query_id, chunk_pos, score): field-weighted BM25 summed over a query's terms (SEA-07, JOI-01, AGG-04)."""
-    tf = sum((F.col(f"tf_{name}") * weight for name, weight in FIELD_WEIGHTS.items()), F.lit(0.0))
-    stats = index.stats()  # one row
-    hits = expanded.join(index.postings, "term").join(index.vocab.select("term", "df"), "term").join(index.chunks.select("chunk_pos", "length"), "chunk_pos").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return hits.groupBy("query_id", "chunk_pos").agg(F.sum(idf * norm * F.col("weight")).alias("score"))
+    """(query_id, chunk_pos, score): field-weighted BM25 summed over a query's terms (SEA-07, JOI-01, AGG-04).
+
+    Expanded queries meet the postings alone; Spark broadcasts the former where they are small when it runs.
+    """
+    hits = expanded.join(index.postings.select("term", "chunk_pos", "impact"), "term")
+    return hits.groupBy("query_id", "chunk_pos").agg(F.sum(F.col("impact") * F.col("weight")).alias("score"))
 
 
 def _near(t: Column, q: Column) -> Column:
@@ -138,20 +176,42 @@ def boost(t: Column, q: Column) -> Column:
 def search(queries: DataFrame, index: Index, limit: int = LIMIT, more: dict[str, list[str]] | None = None) -> DataFrame:
     """(query_id, rank, chunk_pos, url, excerpt, score): the best chunks of every query (SEA-10, SEA-11).
 
-    Scores are rounded to 9 places before they are ranked; ties go to the URL, then the chunk. Excerpts
-    are made for what is left only.
+    Scores are rounded to 9 places before they are ranked; ties go to the URL, then the chunk. A boost adds
+    PHRASE_BOOST at most, so only chunks whose own score comes that near to a query's ``limit``-th best are
+    looked at for it: the others can't be among the best. Excerpts are made for what is left only.
     """
     expanded = expand(queries, index, more)
     asked = queries.select("query_id", T.tokens("query").alias("asked"))
-    scored = score(expanded, index).join(index.chunks.select("chunk_pos", "url", "tokens"), "chunk_pos").join(asked, "query_id")
-    scored = scored.withColumn("score", F.round(F.col("score") + boost(F.col("tokens"), F.col("asked")), 9)).drop("tokens")
+    scored = score(expanded, index)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    least = scored.withColumn("r", place).where(F.col("r") <= limit).groupBy("query_id").agg(F.min("score").alias("least"))
+    near = scored.join(least, "query_id").where(F.col("score") >= F.col("least") - PHRASE_BOOST - 1e-6).drop("least")
+    boosted = near.join(index.chunks.select("chunk_pos", "url", "tokens"), "chunk_pos").join(asked, "query_id")
+    boosted = boosted.withColumn("score", F.round(F.col("score") + boost(F.col("tokens"), F.col("asked")), 9)).drop("tokens")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "url", "chunk_pos")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = boosted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     terms = expanded.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     cut = T.excerpt("text", F.concat("asked", "terms"))
     return top.join(terms, "query_id").join(index.chunks.select("chunk_pos", "text"), "chunk_pos").select("query_id", "rank", "chunk_pos", "url", cut.alias("excerpt"), "score")
 
 
+def phrase_hits(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, chunk_pos): chunks whose tokens hold those of a query, two or more, as a phrase (SEA-08).
+
+    A phrase may begin and end inside a token, so only its tokens but the first and last stand whole in a
+    chunk: the rarest of them finds the chunks. Two tokens meet terms that begin with the second one.
+    """
+    q = queries.select("query_id", T.tokens("query").alias("q")).where(F.size("q") >= 2)
+    middle = q.where(F.size("q") > 2).select("query_id", F.explode(F.array_distinct(F.slice("q", F.lit(2), F.size("q") - 2))).alias("term"))
+    known = middle.join(index.vocab.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = known.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    pairs = q.where(F.size("q") == 2).select("query_id", F.get("q", F.lit(1)).alias("last")).withColumn("head", F.left("last", F.lit(2)))
+    begun = pairs.join(index.vocab.select("term", F.left("term", F.lit(2)).alias("head")), "head").where(F.col("term").startswith(F.col("last"))).select("query_id", "term")
+    found = rarest.union(begun).join(index.postings.select("term", "chunk_pos"), "term").select("query_id", "chunk_pos").distinct()
+    both = found.join(q, "query_id").join(index.chunks.select("chunk_pos", "tokens"), "chunk_pos")
+    return both.where(F.contains(F.array_join("tokens", " "), F.array_join("q", " "))).select("query_id", "chunk_pos")
+
+
 def first_per_page(hits: DataFrame) -> DataFrame:
     """The best chunk of each page of a query (SEA-19, WIN-08)."""
     w = Window.partitionBy("query_id", "url").orderBy("rank")

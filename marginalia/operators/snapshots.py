@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..llm.common import materialize
+from ..scratch import materialize
 
 MOVED, GONE = 308, 410
 # Authors that are bots, besides names with [bot] or a bot suffix.

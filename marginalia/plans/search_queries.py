@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import retrieval as R
+from ..operators import library as B, retrieval as R
 from . import views as V
 from .views import query
 
@@ -88,17 +88,8 @@ def search_full(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_QT}, t AS (SELECT chunk_pos, array_to_string({V.tokens_sql('text')}, ' ') AS t FROM {V.CHUNKS} x), j AS (SELECT query_id, array_to_string(toks, ' ') AS p FROM q WHERE len(toks) >= 2)
 SELECT query_id, count(*) AS phrases FROM j JOIN t ON contains(t.t, j.p) GROUP BY query_id""")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
-    """SEA-08: chunks that hold a query as a phrase; tokens meet on the query's first two before the phrase is looked for."""
-    q = V.queries(spark, d).select("query_id", T.tokens("query").alias("q")).where(F.size("q") >= 2)
-    c = V.chunk_rows(spark, d).select("chunk_pos", T.tokens("text").alias("t"))
-    # A phrase may begin inside a token, so only whole tokens after the first can be joined on; two-token phrases end inside one.
-    words = c.select("chunk_pos", F.explode(F.array_distinct("t")).alias("w"))
-    middle = q.where(F.size("q") > 2).withColumn("w", F.get("q", F.lit(1)))
-    some = middle.join(words, "w").join(c, "chunk_pos").select("query_id", "chunk_pos", "q", "t")
-    ends = q.where(F.size("q") == 2).withColumn("w2", F.get("q", F.lit(1))).withColumn("key", F.left("w2", F.lit(2)))
-    short = words.withColumn("key", F.left("w", F.lit(2))).join(ends, "key").where(F.col("w").startswith(F.col("w2"))).select("query_id", "chunk_pos", "q").distinct().join(c, "chunk_pos").select("query_id", "chunk_pos", "q", "t")
-    both = some.union(short)
-    return both.where(F.contains(F.array_join("t", " "), F.array_join("q", " "))).groupBy("query_id").agg(F.count("*").alias("phrases"))
+    """SEA-08: chunks that hold a query as a phrase; the rarest inner token finds them."""
+    return R.phrase_hits(V.queries(spark, d), _index(spark, d)).groupBy("query_id").agg(F.count("*").alias("phrases"))
 
 
 @query("""WITH RECURSIVE h AS (SELECT conv_id AS query_id, turn + 1 AS rank, text FROM conversations WHERE turn < 6),
@@ -137,3 +128,78 @@ def grep_lines(spark: SparkSession, d: str) -> DataFrame:
     """SEA-28: lines that match a pattern."""
     lines = V.read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return R.grep(lines, "[Ll]icen[sc]e|password").groupBy("path").agg(F.count("*").alias("n"))
+
+
+_PARTED: dict[tuple[str, str], R.Index] = {}
+
+
+def _sectioned(spark: SparkSession, d: str) -> R.Index:
+    """The index of a folder's documents as Markdown, by sections and parts; a session keeps the last one."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PARTED:
+        for other in list(_PARTED):
+            if other[0] == key[0]:
+                _PARTED[other].release()
+            del _PARTED[other]
+        p = V.pages(spark, d).select("page_id", "url", "title", "description").join(V.markdown(spark, d), "page_id")
+        _PARTED[key] = R.build(R.chunk_rows(p))
+    return _PARTED[key]
+
+
+@query()
+def section_index(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-02, ARR-01 to ARR-03: chunks of sections with their four fields; tests hold it against plain Python."""
+    c = _sectioned(spark, d).chunks
+    return c.select("chunk_pos", "page_id", "anchor", "heading", F.length("text").alias("chars"), F.length("code").alias("code_chars"), "length")
+
+
+@query()
+def section_search(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-07 to SEA-11 over sections: title, heading, body and code count."""
+    return R.search(V.queries(spark, d), _sectioned(spark, d))
+
+
+@query(f"SELECT chunk_pos, url, title, description, md5(text) AS digest FROM {V.CHUNKS} c")
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-12, SEA-14, SEA-17, JOI-02: every chunk by its id, with its document and text."""
+    index = _index(spark, d)
+    bare, content = B.detach(index)
+    ids = V.read(spark, d, "documents").select(F.col("doc_id").alias("chunk_pos"))
+    return B.read_chunks(B.attach(bare, content), ids).select("chunk_pos", "url", "title", "description", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT url, count(*) AS chunks, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_pos)) AS digest FROM {V.CHUNKS} c GROUP BY url")
+def content_files(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-15, SEA-16: each document's chunks as one text."""
+    return B.files(_index(spark, d)).select("url", "chunks", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT page_id, title, url, [grp] AS groups FROM {V.PAGES} p")
+def list_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-16, SEA-23: title, URL and groups of all pages."""
+    return B.list_pages(V.pages(spark, d))
+
+
+@query(f"SELECT asked, page_id FROM (SELECT CASE page_id % 4 WHEN 0 THEN url || '.md' WHEN 1 THEN url || '/' WHEN 2 THEN ltrim(url, '/') ELSE url || '/none' END AS asked, page_id % 4 = 3 AS none, page_id FROM {V.PAGES} p) WHERE NOT none")
+def get_page(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-22, SEA-24, SEA-25: pages by the paths asked for, mirrors and loose slashes included; unknown ones have none."""
+    p = V.pages(spark, d)
+    k = F.col("page_id") % 4
+    asked = F.when(k == 0, F.concat("url", F.lit(".md"))).when(k == 1, F.concat("url", F.lit("/"))).when(k == 2, F.ltrim(F.col("url"), F.lit("/"))).otherwise(F.concat("url", F.lit("/none")))
+    return B.get_pages(p.select(asked.alias("asked")), p).select("asked", "page_id")
+
+
+@query(f"""WITH {_INDEX}, {_QT}, {_EXPAND}
+SELECT DISTINCT query_id, 0 AS over FROM x JOIN p USING (term)""")
+def ask(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-20, SEA-21, SEA-26: a session's answers to every query, ten pages at most; queries with answers are compared."""
+    answers = B.Session(_index(spark, d), site="example.com", product="Docs").ask(V.queries(spark, d))
+    return answers.groupBy("query_id").agg(F.sum((F.col("place") > 10).cast("int")).cast("int").alias("over"))
+
+
+@query("SELECT conv_id, turn, regexp_matches(c, '(^|[\\s;&|()])(rm|curl)\\b') OR c LIKE '%>%' OR c LIKE 'sed -i%' AS unsafe FROM (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'grep -n a docs' WHEN 1 THEN 'ls; rm -r docs' WHEN 2 THEN 'cat a > b' WHEN 3 THEN 'sed -i s/a/b/ x' WHEN 4 THEN 'sed s/rmx/b/ x' ELSE 'curl http://x' END AS c FROM conversations)")
+def unsafe_commands(spark: SparkSession, d: str) -> DataFrame:
+    """SEA-29: commands that would write or reach the network."""
+    said = ("grep -n a docs", "ls; rm -r docs", "cat a > b", "sed -i s/a/b/ x", "sed s/rmx/b/ x", "curl http://x")
+    c = V.read(spark, d, "conversations").select("conv_id", "turn", F.get(F.array(*map(F.lit, said)), (F.col("turn") % 6).cast("int")).alias("c"))
+    return c.select("conv_id", "turn", B.unsafe("c").alias("unsafe"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import artifacts as A, checks as C, experiments as X, mdx, navigation as N, openapi as O, snapshots as Z, structure as S
+from ..operators import artifacts as A, checks as C, experiments as X, linter as M, mdx, navigation as N, openapi as O, snapshots as Z, structure as S
 from ..streaming import limits as L
 from . import views as V
 from .views import query
@@ -345,25 +347,47 @@ def rounded_median(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 2).alias("middle"))
 
 
-_CALLS = "c AS (SELECT conv_id AS run_id, role AS tool, string_split(text, ' ')[1] AS path, text AS result FROM conversations), s AS (SELECT run_id, count(*) AS reads, list_distinct(list(path)) AS groups FROM c WHERE tool = 'assistant' AND result <> '' GROUP BY run_id)"
+#: Conversations as tool calls: some fail, paths come in several spellings, and runs have layouts in turn.
+_PATHS = ("./llms.txt", "/llms-full.txt", "docs/authoring/llms.txt", "docs\\llms-full\\build.txt", "docs/quickstart.md", "docs/llms-full/authoring.txt", "docs/authoring/a.md", "llms.txt")
+_VARIANTS = ("page-links", "explicit-bundles", "monolith", "router", "section-indexes", "other")
+_CALLS = f"""c AS (SELECT conv_id AS run_id, turn, CASE role WHEN 'system' THEN 'grep' ELSE 'read' END AS tool, [{", ".join(f"'{x}'" for x in _PATHS)}][1 + (conv_id + turn * 3) % 8] AS path,
+  turn % 5 = 4 AS is_error, CASE WHEN turn % 7 = 6 THEN 'error: ENOENT' ELSE text END AS result FROM conversations),
+g AS (SELECT run_id, regexp_replace(regexp_replace(replace(path, chr(92), '/'), '^\\./', ''), '^/+', '') AS path FROM c WHERE tool = 'read' AND NOT is_error AND NOT coalesce(starts_with(result, 'error:'), false)),
+s AS (SELECT r.run_id, count(path) AS reads, coalesce(bool_or(path = 'llms.txt'), false) AS read_index, coalesce(bool_or(path = 'llms-full.txt'), false) AS read_full,
+  coalesce(list(DISTINCT split_part(path, '/', 2)) FILTER (WHERE path LIKE 'docs/%/llms.txt'), []) AS sections, coalesce(list(DISTINCT path) FILTER (WHERE path LIKE 'docs/%.md'), []) AS pages,
+  coalesce(list(DISTINCT replace(split_part(path, '/', 3), '.txt', '')) FILTER (WHERE path LIKE 'docs/llms-full/%.txt'), []) AS groups
+  FROM (SELECT DISTINCT run_id FROM c) r LEFT JOIN g USING (run_id) GROUP BY r.run_id)"""
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("role").alias("tool"), F.split_part("text", F.lit(" "), F.lit(1)).alias("path"), F.col("text").alias("result"), F.lit(False).alias("is_error"))
+    path = F.get(F.array(*(F.lit(x) for x in _PATHS)), ((F.col("conv_id") + F.col("turn") * 3) % 8).cast("int"))
+    c = V.read(spark, d, "conversations")
+    return c.select(
+        F.col("conv_id").alias("run_id"), F.when(F.col("role") == "system", "grep").otherwise("read").alias("tool"), path.alias("path"),
+        (F.col("turn") % 5 == 4).alias("is_error"), F.when(F.col("turn") % 7 == 6, "error: ENOENT").otherwise(F.col("text")).alias("result"),
+    )
 
 
-@query(f"WITH {_CALLS} SELECT run_id, reads, CAST(len(groups) AS BIGINT) AS groups FROM s")
+@query(f"WITH {_CALLS} SELECT run_id, reads, read_index, read_full, array_to_string(list_sort(sections), ',') AS sections, array_to_string(list_sort(pages), ',') AS pages, array_to_string(list_sort(groups), ',') AS groups FROM s")
 def read_summary(spark: SparkSession, d: str) -> DataFrame:
     """FIL-08, AGG-17, AGG-18: what runs have read."""
-    return X.read_summary(_calls(spark, d)).select("run_id", "reads", F.size("groups").cast("long").alias("groups"))
+    r = X.read_summary(_calls(spark, d))
+    return r.select("run_id", "reads", "read_index", "read_full", *(F.array_join(c, ",").alias(c) for c in ("sections", "pages", "groups")))
 
 
-@query(f"WITH {_CALLS}, e AS (SELECT conv_id AS run_id, list(DISTINCT string_split(text, ' ')[1]) AS expected FROM conversations WHERE turn = 1 GROUP BY 1) SELECT e.run_id, len(list_filter(expected, lambda x: NOT coalesce(list_contains(groups, x), false))) = 0 AS matched FROM e LEFT JOIN s USING (run_id)")
+@query(f"""WITH {_CALLS}, e AS (SELECT *, [{", ".join(f"'{v}'" for v in _VARIANTS)}][1 + run_id % 6] AS variant, CASE WHEN run_id % 4 = 0 THEN ['authoring'] ELSE [] END AS eg, CASE run_id % 3 WHEN 0 THEN ['docs/quickstart.md'] WHEN 1 THEN ['docs/authoring/a.md'] ELSE [] END AS ep FROM s),
+m AS (SELECT *, len(list_filter(eg, lambda x: NOT list_contains(groups, x))) = 0 AS g_ok, len(list_filter(eg, lambda x: NOT list_contains(sections, x))) = 0 AS s_ok, len(list_filter(ep, lambda x: NOT list_contains(pages, x))) = 0 AS p_ok,
+  len(list_filter(ep, lambda x: NOT list_contains(pages, x) AND NOT (starts_with(x, 'docs/authoring/') AND list_contains(groups, 'authoring')))) = 0 AS b_ok, len(list_filter(groups, lambda x: NOT list_contains(eg, x))) AS wrong FROM e)
+SELECT run_id, wrong, read_index AND wrong = 0 AND CASE variant WHEN 'page-links' THEN p_ok WHEN 'explicit-bundles' THEN g_ok WHEN 'monolith' THEN read_full WHEN 'router' THEN read_full AND g_ok WHEN 'section-indexes' THEN s_ok AND b_ok ELSE false END AS matched FROM m""")
 def context_match(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-19: whether runs have read what was expected."""
-    calls = _calls(spark, d)
-    first = V.read(spark, d, "conversations").where("turn = 1").groupBy(F.col("conv_id").alias("run_id")).agg(F.collect_set(F.split_part("text", F.lit(" "), F.lit(1))).alias("expected"))
-    return X.context_matched(X.read_summary(calls), first)
+    """AGG-19: whether runs have read what their layouts ask for."""
+    reads, none = X.read_summary(_calls(spark, d)), F.array().cast("array<string>")
+    run = F.col("run_id")
+    expected = reads.select(
+        "run_id", F.get(F.array(*map(F.lit, _VARIANTS)), (run % 6).cast("int")).alias("variant"), F.when(run % 4 == 0, F.array(F.lit("authoring"))).otherwise(none).alias("expected_groups"),
+        F.when(run % 3 == 0, F.array(F.lit("docs/quickstart.md"))).when(run % 3 == 1, F.array(F.lit("docs/authoring/a.md"))).otherwise(none).alias("expected_pages"),
+    )
+    return X.context_matched(reads, expected).select("run_id", F.size("wrong_groups").cast("long").alias("wrong"), "matched")
 
 
 # ---- artifacts, MDX, OpenAPI, stateful ----
@@ -401,15 +425,117 @@ def virtual_files(spark: SparkSession, d: str) -> DataFrame:
     return A.virtual_files(V.pages(spark, d)).agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars"))
 
 
-@query("SELECT doc_id, '> **Tip: N' || doc_id || '**' || chr(10) || '>' || chr(10) || '> Body ' || doc_id || chr(10) || chr(10) || '- [Next](/docs/' || (doc_id + 1) || '): More' || chr(10) AS markdown FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '> 💡 **Tip:** **N' || doc_id || '**' || chr(10) || '> Body ' || doc_id WHEN 1 THEN '> ⚠️ **Warning:**' || chr(10) || '> Body ' || doc_id
+  WHEN 2 THEN '| Package manager | Command |' || chr(10) || '| :--- | :--- |' || chr(10) || '| npm | `npx p' || doc_id || '` |' || chr(10) || '| pnpm | `pnpm dlx p' || doc_id || '` |' || chr(10) || '| yarn | `yarn dlx p' || doc_id || '` |' || chr(10) || '| bun | `bunx p' || doc_id || '` |'
+  ELSE '### About ' || doc_id || chr(10) || chr(10) || 'Body ' || doc_id END || chr(10) || chr(10) || '- [Next](/docs/' || (doc_id + 1) || '): More' || chr(10) AS markdown FROM documents""")
 def flatten_components(spark: SparkSession, d: str) -> DataFrame:
-    """MDX-01 to MDX-03, MDX-07, MDX-10, MDX-14: components as Markdown."""
-    i = F.col("doc_id").cast("string")
-    source = F.concat(F.lit('import { X } from "x"\n\n<Callout variant="tip" title="N'), i, F.lit('">\nBody '), i, F.lit('\n</Callout>\n\n<Cards>\n<Card title="Next" href="/docs/'), (F.col("doc_id") + 1).cast("string"), F.lit('">\nMore\n</Card>\n</Cards>\n'))
+    """MDX-01 to MDX-03, MDX-07, MDX-10, MDX-13 to MDX-15: components as Markdown."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    tip = F.concat(F.lit('<Callout variant="tip" title={"N'), i, F.lit('"}>\nBody  '), i, F.lit("\n</Callout>"))
+    first = (
+        F.when(k == 0, tip).when(k == 1, F.concat(F.lit('<Callout type="warn">Body '), i, F.lit("</Callout>"))).when(k == 2, F.concat(F.lit('<CommandTabs command="p'), i, F.lit('" />')))
+        .otherwise(F.concat(F.lit("<details>\n<summary>About "), i, F.lit("</summary>\n\nBody "), i, F.lit("\n</details>")))
+    )
+    source = F.concat(F.lit('import { X } from "x"\n\n'), first, F.lit('\n\n<Cards>\n<Card title="Next" href="/docs/'), (F.col("doc_id") + 1).cast("string"), F.lit('">\nMore\n</Card>\n</Cards>\n'))
     done = mdx.convert(V.read(spark, d, "documents").select(i.alias("path"), source.alias("source")))
     return done.select(F.col("path").cast("long").alias("doc_id"), "markdown")
 
 
+_LINKS = "'- [' || title || '](' || {url} || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END"
+_PARTED = f"(SELECT *, CASE WHEN page_id % 11 = 0 THEN 2 WHEN grp IN ('src1', 'src2') THEN {{third}} ELSE 1 END AS part FROM {V.PAGES} p)"
+
+
+def _outline(head: list[str], url: str, third: int, note: str) -> str:
+    """SQL of an outline's lines."""
+    said = lambda x: "'" + x.replace("'", "''") + "'"
+    heads = " UNION ALL ".join(f"SELECT 0, '', 0, {k}, NULL, {said(x)}" for k, x in enumerate(head))
+    above = f"CASE part WHEN 1 THEN ['', '## ' || grp, ''] WHEN 2 THEN ['', '## Other', ''] ELSE ['', '## Optional', '', {said(note)}, ''] END"
+    return f"""WITH p AS (SELECT part, CASE WHEN part = 1 THEN grp ELSE '' END AS grp, ord, page_id, {_LINKS.format(url=url)} AS line FROM {_PARTED.format(third=third)} q), t AS (SELECT DISTINCT part, grp FROM p)
+SELECT part, grp, 2 AS at, ord, page_id, line FROM p UNION ALL SELECT part, grp, 1, unnest(generate_series(0, len({above}) - 1)), NULL, unnest({above}) FROM t UNION ALL {heads}"""
+
+
+def _parted(spark: SparkSession, d: str) -> DataFrame:
+    return V.pages(spark, d).withColumn("grp", F.when(F.col("page_id") % 11 != 0, F.col("grp")))
+
+
+@query(_outline(["# Docs Documentation", "", "> Curated documentation map for developers and coding agents working with Docs.", "", "## How To Use This File", "", "Read the summary links first. If the page links are not enough, use `/llms-full.txt` as the broad full-context fallback."], "url", 3, "Lower-priority pages — safe to skip for a shorter context."))
+def docs_map(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-04, NAV-13: the docs map's lines, with other and optional pages at its end."""
+    return A.docs_map(_parted(spark, d), "Docs", ["src1", "src2"])
+
+
+@query(_outline(["# Docs", "", "> All pages", "", "These docs ship inside the package so coding agents can read them offline. Open the topic file you need from the list below — paths are relative to this file.", "", "## Product Summary", "", "- One"], "'./docs/' || relative_path", 1, ""))
+def agents_md(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-08: the lines of AGENTS.md."""
+    return A.agents_md(_parted(spark, d), "Docs", "All pages", ["One"])
+
+
+@query(_outline(["# Sitemap", "", "Structured documentation sitemap for Docs."], "url", 1, ""))
+def sitemap_md(spark: SparkSession, d: str) -> DataFrame:
+    """NAV-17: the lines of sitemap.md."""
+    return A.sitemap_md(_parted(spark, d), "Docs")
+
+
+@query("WITH n AS (SELECT count(*) AS n, count(DISTINCT source) AS g FROM documents) SELECT unnest(['/llms.txt', '/llms-full.txt', '/AGENTS.md', '/sitemap.md', '/docs/agent-readability.json', '/feeds/schema.jsonl']) AS path, unnest([n + 3 * g + 7, n, n + 3 * g + 5, n + 3 * g + 3, n, n]) AS n FROM n")
+def all_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-07: the size of every artifact that pages give; the sitemap's files are compared elsewhere."""
+    made = A.everything(V.pages(spark, d), "Docs", "All pages", "https://example.com")
+    counts = [df.agg(F.lit(path).alias("path"), F.count("*").alias("n")) for path, df in made.items() if path != "/sitemap.xml"]
+    return reduce(DataFrame.union, counts)
+
+
+@query(f"""WITH l AS (SELECT '/docs/' || lang || '/' || (doc_id + 1) AS url, CASE WHEN doc_id % 3 = 0 THEN 'Own ' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN 'said' END AS description FROM documents),
+j AS (SELECT l.url, coalesce(l.title, CASE WHEN lower(p.title) NOT IN ('home', 'index', 'readme') THEN p.title END, split_part(l.url, '/', 4)) AS title, l.description AS own, p.description AS theirs FROM l LEFT JOIN {V.PAGES} p ON p.url = l.url)
+SELECT url, title, coalesce(nullif(own, ''), nullif({V.squeeze_sql('theirs')}, ''), 'Entry point for ' || title || ' documentation.') AS description FROM j""")
+def curated_links(spark: SparkSession, d: str) -> DataFrame:
+    """JOI-18: curated links with defaults by their pages."""
+    docs = V.read(spark, d, "documents")
+    links = docs.select(
+        F.concat(F.lit("/docs/"), "lang", F.lit("/"), (F.col("doc_id") + 1).cast("string")).alias("url"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Own "), F.col("doc_id").cast("string"))).alias("title"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("said")).alias("description"),
+    )
+    return A.curated_links(links, V.pages(spark, d))
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '""' WHEN 2 THEN '7' ELSE '"T"' END AS title, CASE k % 3 WHEN 0 THEN '"new"' WHEN 1 THEN '"old"' END AS status, CASE k % 5 WHEN 0 THEN '["a", "b"]' WHEN 1 THEN '["a", 1]' WHEN 2 THEN '"a"' END AS tags, CASE k % 7 WHEN 0 THEN '1.5' WHEN 1 THEN '10' END AS ord, k % 6 = 0 AS extra FROM customer)
+SELECT CAST(k AS VARCHAR) AS file, 'schema' AS rule, 'title' AS field, 'error' AS severity FROM f WHERE title IS NULL OR k % 4 IN (1, 2) UNION ALL SELECT CAST(k AS VARCHAR), 'schema', 'status', 'error' FROM f WHERE k % 3 = 1
+UNION ALL SELECT CAST(k AS VARCHAR), 'schema', 'tags', 'error' FROM f WHERE k % 5 IN (1, 2) UNION ALL SELECT CAST(k AS VARCHAR), 'schema', 'order', 'error' FROM f WHERE k % 7 = 0 UNION ALL SELECT CAST(k AS VARCHAR), 'unknown-field', 'lastModified', 'warn' FROM f WHERE extra""")
+def lint_schema(spark: SparkSession, d: str) -> DataFrame:
+    """LNT-02, LNT-17: frontmatter against the default schema: missing, of another kind, unknown."""
+    k = F.col("c_custkey")
+    pick = lambda m, *said: F.get(F.array(*(F.lit(x).cast("string") for x in said)), (k % m).cast("int"))
+    fields = {"title": pick(4, None, '""', "7", '"T"'), "status": pick(3, '"new"', '"old"', None), "tags": pick(5, '["a", "b"]', '["a", 1]', '"a"', None, None), "order": pick(7, "1.5", "10"), "lastModified": pick(6, '"x"')}
+    files = V.read(spark, d, "customer").select(k.cast("string").alias("file"), F.map_filter(F.create_map(*(x for n, v in fields.items() for x in (F.lit(n), v))), lambda _, v: v.isNotNull()).alias("fields"))
+    return M.schema_violations(files, M.PAGE).select("file", "rule", "field", "severity")
+
+
+@query(f"""WITH {V.LINES}, s AS (SELECT page_id, pos, level, lag(level, 1, 1) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM h)
+SELECT page_id, 'geo:heading-skip' AS rule, CAST(pos AS VARCHAR) AS field FROM s WHERE level > before + 1 UNION ALL SELECT page_id, 'geo:code-language', CAST(pos AS VARCHAR) FROM l WHERE marker AND NOT fenced AND regexp_matches(trim(line), '^`{{3,}}\\s*$')""")
+def lint_structure(spark: SparkSession, d: str) -> DataFrame:
+    """LNT-06: skipped levels and fences without a language; images without text are in the tests."""
+    m = V.markdown(spark, d).withColumn("file", F.col("page_id").cast("string"))
+    return M.structure_findings(m).select(F.col("file").cast("long").alias("page_id"), "rule", "field")
+
+
+@query("""WITH f AS (SELECT count(*) FILTER (WHERE trim(split_part(text, chr(10), 2)) <> '') / count(*) AS described FROM documents)
+SELECT dimension, CAST(sum(points) AS BIGINT) AS points, CAST(sum(most) AS BIGINT) AS most FROM (SELECT 'identity' AS dimension, 2 + 0 + 0 + 2 + 1 + 2 + 0 + CAST(floor(described * 2 + 0.5) AS INT) + 0 AS points, 15 AS most FROM f UNION ALL SELECT 'integration', 2 + 0 + 1, 5) GROUP BY 1""")
+def readiness_signals(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-08, SCO-01: the twelve signals of a corpus, in sum."""
+    files = spark.createDataFrame([(x,) for x in ("llms.txt", "docs/search-index.json", "docs/agent-readability.json", "docs/a/b.md")], "path string")
+    robots = spark.createDataFrame([("User-agent: *",)], "line string")
+    findings = spark.createDataFrame([("geo:image-alt",)], "rule string")
+    pages = V.pages(spark, d).withColumn("last_modified", F.lit(None).cast("string"))
+    s = M.signals(files, pages, robots, findings)
+    return s.groupBy("dimension").agg(F.sum("points").alias("points"), F.sum("max").alias("most"))
+
+
+@query(r"""SELECT DISTINCT '/docs/' || lang || '/' || source || '/' || doc_id AS route FROM documents WHERE doc_id % 9 <> 0""")
+def route_set(spark: SparkSession, d: str) -> DataFrame:
+    """LNT-16: routes of a tree's pages; shared folders have none."""
+    p = V.pages(spark, d).select(F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("shared/"), "relative_path")).otherwise(F.col("relative_path")).alias("path"))
+    return M.route_set(p)
+
+
 #: A small document for the OpenAPI queries.
 SPEC = {
     "openapi": "3.1.0",

@@ -38,10 +38,10 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return V.pages(spark, d).select("page_id", T.slug("title").alias("slug"), T.clean_markdown("description").alias("plain"))
 
 
-@query(f"SELECT page_id, '/' || 'guide/' || regexp_replace(relative_path[4:], '\\.md$', '') AS mounted, '/docs/' || regexp_replace(relative_path, '\\.md$', '') AS route, '/docs/' || relative_path AS mirror, 'https://example.com/docs/' || regexp_replace(relative_path, '\\.md$', '') AS absolute FROM {V.PAGES} p WHERE lang = 'en'")
+@query(f"SELECT page_id, CASE WHEN lang = 'en' THEN '/guide/' || regexp_replace(relative_path[4:], '\\.md$', '') ELSE '/docs/' || regexp_replace(relative_path, '\\.md$', '') END AS mounted, '/docs/' || regexp_replace(relative_path, '\\.md$', '') AS route, '/docs/' || relative_path AS mirror, 'https://example.com/docs/' || regexp_replace(relative_path, '\\.md$', '') AS absolute FROM {V.PAGES} p")
 def route_map(spark: SparkSession, d: str) -> DataFrame:
     """STR-13 to STR-16: routes with and without mounts, mirrors, absolute URLs."""
-    p = V.pages(spark, d).where("lang = 'en'")
+    p = V.pages(spark, d)
     return p.select("page_id", T.route("relative_path", {"en": "/guide"}).alias("mounted"), T.route("relative_path").alias("route"), T.mirror("relative_path").alias("mirror"), T.absolute(T.route("relative_path"), "https://example.com/").alias("absolute"))
 
 
@@ -88,10 +88,13 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select("doc_id", T.content_hash("text").alias("hash"))
 
 
-@query(f"SELECT query_id, CASE WHEN trim(query) = '' THEN 400 WHEN length(trim(query)) > 24 THEN 413 ELSE 200 END AS status FROM {V.QUERY} q")
+@query(rf"""SELECT query_id, k, CASE WHEN k = 1 OR k = 4 THEN 400 WHEN length(regexp_replace(trim(query), '\s+', ' ', 'g')) * CASE k WHEN 2 THEN 3 ELSE 1 END + CASE k WHEN 2 THEN 2 ELSE 0 END > 400 THEN 413 ELSE 200 END AS status
+FROM {V.QUERY} q, (SELECT unnest([0, 1, 2, 3, 4]) AS k)""")
 def query_validation(spark: SparkSession, d: str) -> DataFrame:
-    """STR-31: the status of queries."""
-    return V.queries(spark, d).select("query_id", T.query_status("query", 24).alias("status"))
+    """STR-31: the status of whole queries: as they are, a lone tab, thrice in one, with wide gaps, with a control character."""
+    q, k = F.col("query"), F.col("k")
+    forms = F.when(k == 0, q).when(k == 1, F.lit("\t")).when(k == 2, F.concat_ws(" ", q, q, q)).when(k == 3, F.regexp_replace(q, " ", " \t\u00a0\n ")).otherwise(F.concat(F.left(q, F.lit(9)), F.lit("\x07")))
+    return V.queries(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(5))))).select("query_id", "k", T.query_status(forms).alias("status"))
 
 
 @query(r"SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS iso FROM orders")

@@ -52,7 +52,7 @@ PAGES = r"""(SELECT doc_id AS page_id, lang || '/' || source || '/' || doc_id ||
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """documents as Markdown: some lines are headings, some stand in fences."""
-    head = lambda marks, x: F.concat(F.lit(marks + " "), F.left(x, F.lit(40)))
+    head = lambda marks, x: F.concat(F.lit(marks + " "), x)
     line = lambda x, i: (
         F.when(i == 0, head("#", x)).when(i % 5 == 3, head("##", x)).when(i % 7 == 5, head("####", x))
         .when(i % 11 == 10, F.concat(F.lit("```\n"), x, F.lit("\n```"))).otherwise(x)
@@ -61,7 +61,7 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 MARKDOWN = r"""(SELECT doc_id AS page_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
-  CASE WHEN i = 1 THEN '# ' || left(x, 40) WHEN (i - 1) % 5 = 3 THEN '## ' || left(x, 40) WHEN (i - 1) % 7 = 5 THEN '#### ' || left(x, 40)
+  CASE WHEN i = 1 THEN '# ' || x WHEN (i - 1) % 5 = 3 THEN '## ' || x WHEN (i - 1) % 7 = 5 THEN '#### ' || x
   WHEN (i - 1) % 11 = 10 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x END), chr(10)) AS content FROM documents)"""
 
 #: Lines of MARKDOWN with fence parity, and headings outside fences.
@@ -73,11 +73,11 @@ h AS (SELECT page_id, pos, length(regexp_extract(trim(line), '^(#{{1,6}})\s+(.+)
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """benchmark as search queries: the first four words."""
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
+    """benchmark as search queries, whole."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-QUERY = "(SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
+QUERY = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
