@@ -1,13 +1,8 @@
-"""What the operators of this subpackage share: inputs, scratch tables, Arrow batches, codecs."""
+"""What the operators of this subpackage share: inputs, Arrow batches, codecs; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import clear_scratch, materialize, scratch_dir, scratch_of  # noqa: F401  the operators' own
+
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 #: Bytes of input for each partition of a shuffle, at most about.
 PARTITION_BYTES = 64 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])
-_SCRATCH: list[tuple[SparkSession, str, str]] = []
-_OWNER = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,52 +59,6 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one where that is unset and all tasks are local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        base = tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    _SCRATCH.append((spark, path, _OWNER[-1]))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scratch_of(owner: str) -> Iterator[None]:
-    """Name whose the tables are that ``materialize`` writes meanwhile."""
-    _OWNER.append(owner)
-    try:
-        yield
-    finally:
-        _OWNER.pop()
-
-
-def clear_scratch(owner: str | None = None) -> None:
-    """Delete the tables that ``materialize`` wrote for ``owner``, or all; there must be no more use for them."""
-    for found in [x for x in _SCRATCH if owner in (None, x[2])]:
-        _SCRATCH.remove(found)
-        spark, path, _ = found
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended
-            continue
-
-
-atexit.register(clear_scratch)
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) of ``docs``, and the columns named."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
