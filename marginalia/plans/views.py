@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..inputs import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,8 +27,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table of the driver's."""
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table of the driver's; small documents are spread over all cores."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def first_line(text: str = "text") -> Column:
