@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..inputs import spread
 from ..scratch import clear_scratch, materialize, scratch_dir, scratch_of  # noqa: F401  the operators' own
 
 #: Bytes of text handled at once inside a Python worker.
@@ -22,9 +23,10 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, by a path that only Spark's readers need to reach."""
+    """One input table, by a path that only Spark's readers need to reach; small documents are spread over all cores."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def ship(spark: SparkSession) -> None:
