@@ -1,11 +1,15 @@
-"""How inputs are dealt to tasks."""
+"""How inputs are dealt to tasks, and what tasks need."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for each core below which a scan has too few tasks: Spark cuts files no finer.
 LEAST_SPLIT = 4 << 20
+_ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -16,3 +20,10 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * LEAST_SPLIT else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..inputs import ship
 from . import mdx, structure
 from .checks import violation
 
@@ -67,6 +68,7 @@ def broken_snippets(pages: DataFrame) -> DataFrame:
 
     some = rows.where(F.col("lang").isin("yaml", "yml"))
     kinds = dict(rows.dtypes)
+    ship(rows.sparkSession)
     return bad.union(some.mapInPandas(run, f"page_id {kinds['page_id']}, block {kinds['block']}, lang string"))
 
 

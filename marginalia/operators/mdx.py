@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..inputs import ship
 from ..scratch import materialize
 
 #: Components, and the HTML elements that are treated as such.
@@ -414,6 +415,7 @@ def convert(pages: DataFrame, files: DataFrame | None = None, handlers: dict[str
             done = [to_markdown(s or "", dict(f) if f is not None else {}, p or "", known) for p, s, f in zip(pdf["path"], pdf["source"], pdf["files"], strict=True)]
             yield pd.DataFrame({"path": pdf["path"], "markdown": done})
 
+    ship(pages.sparkSession)
     return rows.select("path", "source", "files").mapInPandas(run, "path string, markdown string")
 
 

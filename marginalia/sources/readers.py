@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..inputs import ship
 
 RUN = (
     "benchmark string, fixture string, model string, runIndex int, mode string, variant string, passed boolean, score double, judgeModel string, "
@@ -50,6 +51,7 @@ def frontmatter(rows: DataFrame) -> DataFrame:
         return s.map(parse)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    ship(rows.sparkSession)
     return rows.withColumn("frontmatter", F.pandas_udf(run, "map<string,string>")("content"))
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..inputs import ship
+
 OUT = "client long, event_id long, ts_ms long, allowed boolean, remaining long, reset_at long"
 
 
@@ -45,6 +47,7 @@ def rate_limit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
                 out.append((who, *rows[0]))
             yield pd.DataFrame(out, columns=["client", "event_id", "ts_ms", "allowed", "remaining", "reset_at"])
 
+    ship(requests.sparkSession)
     return requests.select("client", "event_id", "ts_ms").repartition("client").sortWithinPartitions("client", "ts_ms", "event_id").mapInPandas(run, OUT)
 
 
@@ -57,6 +60,7 @@ def rate_limit_stream(requests: DataFrame, limit: int, window_ms: int) -> DataFr
         state.update(now)
         yield pd.DataFrame([(key[0], *r) for r in out], columns=["client", "event_id", "ts_ms", "allowed", "remaining", "reset_at"])
 
+    ship(requests.sparkSession)
     return requests.groupBy("client").applyInPandasWithState(run, OUT, "count long, reset_at long", "append", GroupStateTimeout.NoTimeout)
 
 
