@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..inputs import spread
+from ..inputs import ship, spread
 from ..scratch import clear_scratch, materialize, scratch_dir, scratch_of  # noqa: F401  the operators' own
 
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 #: Bytes of input for each partition of a shuffle, at most about.
 PARTITION_BYTES = 64 << 20
-_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-
-
 def partitions(spark: SparkSession) -> int:
     """Partitions of the operators' own shuffles: the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
