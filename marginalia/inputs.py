@@ -17,9 +17,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     Texts are costly to work on and cheap to move at that size. Rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * LEAST_SPLIT else df
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) < cores * LEAST_SPLIT
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() < 2 * cores else df
 
 
 def ship(spark: SparkSession) -> None:
