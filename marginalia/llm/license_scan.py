@@ -1,8 +1,9 @@
-"""Operator 4: licence notices in texts, by Dice coefficient over word bigrams.
+"""Operator 4: licence notices and whole licences in texts, by Dice coefficient over word bigrams.
 
 Lines, paragraphs and whole documents are normalised to words and compared with templates. A template of
 n bigrams can reach a coefficient of t only with units of n t / (2 - t) to n (2 - t) / t bigrams, so most
-templates are never compared, and no words are paired in units beyond every template's bounds.
+templates are never compared. A unit has as many bigrams as distinct words, but for one, and fewer than
+words; where no template fits those two numbers, its words aren't paired.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import over_batches, texts
 
-# Notices and texts of public licences.
+# Notices of public licences; whole texts are in the folder licences.
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
@@ -55,6 +58,22 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies.",
     ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -69,6 +88,17 @@ _WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, n_matches long, licenses string, best_dice double, matches array<struct<license:string,unit:string,line:int,lines:int,dice:double>>"
 
 
+@lru_cache(maxsize=1)
+def library() -> dict[str, tuple[str, ...]]:
+    """The notices of TEMPLATES and the whole texts of the folder licences, by licence."""
+    found = dict(TEMPLATES)
+    for file in sorted(resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name = file.name[: -len(".txt")]
+            found[name] = (*found.get(name, ()), file.read_text(encoding="utf-8"))
+    return found
+
+
 def normalise(text: str) -> list[str]:
     """Words of letters and digits, lower-cased."""
     return _WORD.findall(text.lower())
@@ -96,7 +126,7 @@ class Templates:
 
     def match(self, words: list[str]) -> tuple[float, str] | None:
         """The best coefficient and its licence, if it reaches the threshold; ties go to the first name."""
-        if not 2 <= len(words):
+        if len(words) < 2 or self.bounds(len(set(words)) - 1)[0] >= self.bounds(len(words) - 1)[1]:
             return None
         grams = bigrams(words)
         lo, hi = self.bounds(len(grams))
@@ -154,18 +184,26 @@ class Templates:
         return n
 
 
+@lru_cache(maxsize=2)
+def _prepared(texts_by_name: tuple[tuple[str, tuple[str, ...]], ...], threshold: int) -> Templates:
+    """Templates, made once in a worker."""
+    return Templates(dict(texts_by_name), threshold)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """Licences found in every document.
 
     Takes doc_id and text; other columns are ignored. A null or empty text matches nothing. One row for
     each input row: ``matches`` in order of units (lines, paragraphs, the document) and place, the sorted
-    distinct ``licenses``, and the best coefficient (0 if none). Templates are a fixed, small table sent
-    with the task. A unit with more distinct words than a template of the upper size bound has is beyond
-    all bounds.
+    distinct ``licenses``, and the best coefficient (0 if none). ``templates`` (by default ``library()``)
+    are texts by licence, a fixed table of some 300 KB sent with the task. A unit with more distinct words
+    than a template of the upper size bound has is beyond all bounds. Repeated rows are scanned each; an
+    empty table gives no rows.
     """
-    known = Templates(TEMPLATES if templates is None else templates, threshold)
+    sent = tuple((library() if templates is None else templates).items())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known = _prepared(sent, threshold)
         found = [known.scan(t or "") for t in batch.column(1).to_pylist()]
         item = pa.struct([("license", pa.string()), ("unit", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("dice", pa.float64())])
         cols = [

@@ -147,6 +147,18 @@ def test_bfd_pack_is_lossless(spark):
         assert [x for _, p in sorted(ids[i].items()) for x in p] == [*reference_ids(t), 2]
 
 
+def test_bfd_pack_in_any_order(spark):
+    """A partition's matrix rows are the same in whatever order its documents come."""
+    rng = random.Random(3)
+    rows = [(i // 2 if i % 9 else None, prose(rng, rng.choice([3, 40, 300])) if i % 7 else None) for i in range(60)]
+    found = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        packed = bfd_packing.bfd_pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=128, buffer_tokens=1000)
+        found.append([(r.lead_doc_id, r.lead_start, bytes(r.ids), r.cu_seqlens, r.doc_ids) for r in packed.collect()])
+    assert found[0] == found[1] and len(found[0]) > 9
+
+
 def brute_sum_of_squares(sizes, window):
     level, out = [], []
     for s in sizes:
@@ -287,24 +299,81 @@ def test_boilerplate_of_several_lines(spark):
 # ---- 4 ----
 
 
-def test_license_scan(spark):
-    mit = license_scan.TEMPLATES["MIT"][1]
-    texts = [*ODD, "x\nReleased under the MIT License.\ny", "licensed under the apache license version 2 0", mit.replace("software ", "program ", 1), "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60)), "All rights reserved.\n\nAll rights reserved."]
-    got = {r.doc_id: r for r in license_scan.license_scan(table(spark, texts)).collect()}
-    rows = [(name, license_scan.bigrams(license_scan.normalise(t))) for name, many in license_scan.TEMPLATES.items() for t in many]
+def plain_words(text):
+    """Runs of letters and digits, character by character."""
+    out, run = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum():
+            run += c
+        elif run:
+            out.append(run)
+            run = ""
+    return out
+
 
-    def best(words):
-        g = license_scan.bigrams(words)
-        found = sorted((-2 * len(g & o) / (len(g) + len(o)), name) for name, o in rows) if g else []
-        return found[0] if found and -found[0][0] >= 0.8 else None
+def plain_units(text):
+    """(unit, first line, lines, words) of lines, paragraphs of two lines or more, and texts of two paragraphs or more."""
+    lines = [plain_words(x) for x in (text or "").split("\n")]
+    units, runs, run = [("line", i, 1, w) for i, w in enumerate(lines)], [], []
+    for i, w in enumerate([*lines, []]):
+        if w:
+            run.append(i)
+        elif run:
+            runs.append(run)
+            run = []
+    units += [("paragraph", r[0], len(r), [x for i in r for x in lines[i]]) for r in runs if len(r) > 1]
+    return units + [("document", 0, len(lines), [x for w in lines for x in w])] * (len(runs) > 1)
+
+
+def plain_pairs(words):
+    return {f"{x} {y}" for x, y in zip(words, words[1:])}
+
+
+def plain_scan(text, templates, threshold):
+    """``templates`` are names with pairs; all are compared with every unit."""
+    out = []
+    for unit, at, n, words in plain_units(text):
+        a = plain_pairs(words)
+        found = sorted((-2 * len(a & b) / (len(a) + len(b)), name) for name, b in templates if a and b)
+        if found and -found[0][0] >= threshold / 100:
+            out.append((found[0][1], unit, at, n, round(-found[0][0], 9)))
+    return out
+
+
+def changed(rng, text, share):
+    """``text`` with a share of its words replaced."""
+    return "\n".join(" ".join("zebra" if rng.random() < share else w for w in line.split(" ")) for line in text.split("\n"))
 
+
+@pytest.mark.parametrize("threshold", [60, 80])
+def test_license_scan(spark, threshold):
+    known, rng = license_scan.library(), random.Random(4)
+    whole = {name: many[-1] for name, many in known.items() if len(many[-1]) > 700}
+    mit = license_scan.TEMPLATES["MIT"][1]
+    texts = [
+        *ODD, "x\nReleased under the MIT License.\ny", "licensed under the apache license version 2 0", mit.replace("software ", "program ", 1),
+        "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60)), "All rights reserved.\n\nAll rights reserved.", "all rights " * 4000, mit + " " + "the software " * 3000,
+    ]
+    n = len(texts)
+    texts += [changed(rng, whole[name], share) for name in sorted(whole) for share in (0.0, 0.04, 0.12)]
+    texts += [prose(rng, 300) + "\n\n" + whole["BSD-2-Clause"], whole["MIT"] + "\n\n" + prose(rng, 40), whole["MIT"].replace("\n", "\r\n"), whole["ISC"].upper()]
+    got = {r.doc_id: r for r in license_scan.license_scan(table(spark, texts), threshold=threshold).collect()}
+    templates = [(name, plain_pairs(plain_words(t))) for name, many in known.items() for t in many]
     for i, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        want = [(m[1], k, round(-m[0], 9)) for k, x in enumerate(lines) if (m := best(license_scan.normalise(x)))]
-        assert [(m.license, m.line, round(m.dice, 9)) for m in got[i].matches if m.unit == "line"] == want
-    n = len(ODD)
-    assert [got[n + k].licenses for k in range(5)] == ["MIT", "Apache-2.0", "MIT", "MIT", "All-rights-reserved"]
-    assert any(m.unit == "paragraph" for m in got[n + 3].matches) and got[0].n_matches == 0
+        want = plain_scan(t, templates, threshold)
+        assert [(m.license, m.unit, m.line, m.lines, round(m.dice, 9)) for m in got[i].matches] == want
+        assert (got[i].n_matches, got[i].licenses) == (len(want), ",".join(sorted({w[0] for w in want})))
+        assert round(got[i].best_dice, 9) == max((w[4] for w in want), default=0)
+    if threshold == 80:
+        assert [got[len(ODD) + k].licenses for k in range(5)] == ["MIT", "Apache-2.0", "MIT", "MIT", "All-rights-reserved"]
+        for k, name in enumerate(sorted(whole)):  # whole licences, as they are and with four words in a hundred changed
+            assert [m.license for m in got[n + 3 * k].matches if m.unit == "document"] == [name]
+            assert [m.license for m in got[n + 3 * k + 1].matches if m.unit == "document"] == [name]
+
+
+def test_templates_of_the_caller(spark):
+    got = license_scan.license_scan(table(spark, ["one two three four", "nothing here", None]), {"own": ("One, two; three four!",), "none": ("word", "")}, 100)
+    assert [(r.doc_id, r.licenses, r.best_dice) for r in got.sort("doc_id").collect()] == [(0, "own", 1.0), (1, "", 0.0), (2, "", 0.0)]
     assert license_scan.license_scan(table(spark, [])).count() == 0
 
 
