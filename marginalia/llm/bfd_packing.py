@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, texts
 from .tokens import default_vocabulary, tokenizer
@@ -86,9 +86,9 @@ def bfd_pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDO
     (32-bit where the vocabulary needs it), padded by ``pad_id`` after ``n_tokens``; ``cu_seqlens`` the
     segments' ends, from 0; ``position_ids`` unsigned 32-bit positions that go on from a segment's
     ``starts`` within its document, so a document begins again at 0; padding has 0. (lead_doc_id,
-    lead_start) names a row; a null doc_id stays null. Packing works on runs of rows of a partition as they are read, without a
-    shuffle; a lost task makes the same rows again. Repeated rows are packed each, an empty table gives
-    none.
+    lead_start) names a row; a null doc_id stays null. Packing works on runs of a partition's rows in the
+    order of doc_id and text, without a shuffle, so a lost task makes the same rows again in whatever order
+    its input comes. Repeated rows are packed each, an empty table gives none.
     """
     path = vocabulary or default_vocabulary()
 
@@ -143,4 +143,4 @@ def bfd_pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDO
         if held:
             yield from flush()
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SCHEMA)
