@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import expression_queries, more_queries, search_queries, site_queries, text_queries, views  # noqa: F401  importing them registers their queries
+from .plans import content_queries, expression_queries, more_queries, search_queries, site_queries, text_queries, views  # noqa: F401  importing them registers their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -94,17 +96,17 @@ def reusable(cache: DataFrame, sources: DataFrame) -> DataFrame:
     return now.join(cache.select("path", "source_hash"), "path", "left").join(stale, "path", "left").select("path", (same & F.col("stale").isNull()).alias("reuse"))
 
 
-def is_bot(author: Column | str) -> Column:
-    """Whether an author is a bot (STR-41)."""
+def is_bot(author: Column | str, ignored: Iterable[str] = ()) -> Column:
+    """Whether an author is a bot, or one of the ``ignored`` names, whatever their case (STR-41)."""
     name = F.lower(F.trim(T.col(author)))
-    return name.isin(BOTS) | name.contains("[bot]") | name.rlike("[ _-]bot$")
+    return name.isin([*BOTS, *(x.strip().lower() for x in ignored if x.strip())]) | name.contains("[bot]") | name.rlike("[ _-]bot$")
 
 
-def last_changes(commits: DataFrame, window: int = 50) -> DataFrame:
-    """(path, last_modified, last_author) of path, ts, author, seq: the newest commit, and the newest author who isn't a bot within the newest ``window`` (WIN-01, JOI-19)."""
+def last_changes(commits: DataFrame, window: int = 50, ignored: Iterable[str] = ()) -> DataFrame:
+    """(path, last_modified, last_author) of path, ts, author, seq: the newest commit, and the newest author who isn't a bot or ``ignored`` within the newest ``window`` (WIN-01, JOI-19)."""
     w = Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("seq"))
     recent = commits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= window)
-    human = F.min_by("author", F.when(~is_bot("author"), F.col("r")))
+    human = F.min_by("author", F.when(~is_bot("author", ignored), F.col("r")))
     return recent.groupBy("path").agg(F.max("ts").alias("last_modified"), human.alias("last_author"))
 
 

@@ -122,6 +122,9 @@ def test_long_chains_and_deep_trees(spark):
 def test_bots(spark):
     df = spark.createDataFrame([("Renovate",), ("x[bot]",), ("my-bot",), ("Bob",), ("abbot",)], "a string").select(snapshots.is_bot("a").alias("b"))
     assert [r.b for r in df.collect()] == [True, True, True, False, False]
+    df = spark.createDataFrame([("p", 3, "Release Robot", 0), ("p", 2, "Bob", 0), ("q", 1, " release robot ", 0), ("r", 1, "", 0)], "path string, ts int, author string, seq int")
+    got = snapshots.last_changes(df, ignored=[" Release robot", ""]).collect()
+    assert {r.path: (r.last_modified, r.last_author) for r in got} == {"p": (3, "Bob"), "q": (1, None), "r": (1, "")}
 
 
 def test_tree(spark):
