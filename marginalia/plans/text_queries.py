@@ -149,7 +149,7 @@ c AS (SELECT doc_id, t, 0 AS start, 0 AS stop, CAST(-1 AS BIGINT) AS part FROM t
 SELECT doc_id AS id, part, CAST(length(trim(t[start + 1 : stop])) AS BIGINT) AS chars, md5(trim(t[start + 1 : stop])) AS digest FROM c WHERE part >= 0""")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """ARR-02: overlapping parts of every document."""
-    c = S.chunks(V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    c = S.chunks(V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), as_sql=True)
     return c.select("id", "part", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

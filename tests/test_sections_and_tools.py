@@ -190,3 +190,17 @@ def test_repeated_chunk_numbers_count_once(spark):
     index = retrieval.build(spark.createDataFrame(data, "chunk_pos long, url string, title string, description string, heading string, text string, code string"))
     assert {r.term: r.df for r in index.vocab.collect()} == dict.fromkeys(("one", "two", "alpha", "beta", "gamma"), 1)
     assert {tuple(r) for r in index.postings.where("term = 'alpha'").select("tf_title", "tf_body").collect()} == {(0, 2)}
+
+
+def test_chunks_follow_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from marginalia.plans import text_queries, views as V
+
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice(["ab ", "cde. ", "f", "\u00e9 ", "gh. "]) for _ in range(n)).strip()
+    texts = [("Some words. " * 200)[:k].strip(" ") + "x" * k for k in (0, 1)] + [words(2000)[:n - 1] + "x" for n in (1200, 1201, 1202, 2241, 3281)]
+    texts += [("A late sentence is here. " * 48)[: n - 1] + "z" for n in range(1199, 1205)] + ["\u00a0a\u00a0\u00a0b \x0b c\x1d\u2003", "", None, " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows(text_queries.chunks(spark, str(tmp_path))) == sorted(con.execute(V.SQL["chunks"]).fetchall())
