@@ -1,11 +1,16 @@
-"""Connected components of a table of links by alternating stars, without collecting any of them."""
+"""Connected components of a table of links by alternating stars; a small table is joined on the driver."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, partitions
 
+#: Links up to which the driver joins them (4 MB); rounds of small tables cost their tasks and little else.
+FEW = 1 << 18
+
 
 def join_by_parts(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, n: int) -> DataFrame:
     """``rows`` with the one row of ``facts`` that has their ``keys``; others go.
@@ -30,15 +35,35 @@ def _is_stars(links: DataFrame) -> bool:
     return twice.isEmpty() and chained.isEmpty()
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of links (a, b), and the least id that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    up = np.arange(len(ids))
+    while True:
+        ru, rv = up[u], up[v]
+        apart = ru != rv
+        if not apart.any():
+            return ids, ids[up]
+        np.minimum.at(up, np.maximum(ru, rv)[apart], np.minimum(ru, rv)[apart])
+        while (up != up[up]).any():
+            up = up[up]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every vertex of ``links`` (a, b): component is the least id it reaches.
 
     Each round moves links to the least neighbour, first for larger neighbours, then for smaller ones.
     Least neighbours are partial sums by vertex and part, and a hub's links meet its least neighbour part
-    by part. Loops and repeated links are allowed; no links give no rows.
+    by part. Loops and repeated links are allowed; no links give no rows. FEW distinct links at most are
+    joined on the driver, with the same result.
     """
     n = partitions(links.sparkSession)
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct())
+    if now.count() <= FEW:
+        told = now.toArrow()
+        ids, least = joined(*(told.column(c).to_numpy() for c in ("big", "small")))
+        return materialize(links.sparkSession.createDataFrame(pa.table({"id": ids, "component": least})))
     while not _is_stars(now):
         both = now.select(F.col("big").alias("u"), F.col("small").alias("v")).union(now.select(F.col("small").alias("u"), F.col("big").alias("v")))
         large = with_least(both, "u", "v", n).where("v > u").select(F.col("v").alias("big"), F.least("u", "m").alias("small"))
